@@ -51,6 +51,13 @@ def epoch_micros(column: Column, wall_clock: bool) -> Column:
     return whole * 1_000_000 + (F.date_part(F.lit("SECOND"), column) * 1_000_000).cast("bigint")
 
 
+def from_micros(micros: Column, wall_clock: bool) -> Column:
+    """The inverse of ``epoch_micros``."""
+    if not wall_clock:
+        return F.timestamp_micros(micros)
+    return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 09:00:00").cast("timestamp_ntz"))
+
+
 def epoch_seconds(column: Column, wall_clock: bool) -> Column:
     return F.floor(epoch_micros(column, wall_clock) / 1_000_000).cast("bigint")
 

@@ -7,6 +7,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What is taken out of a normalised name, in order, and what replaces it.
 TITLE_RULES = [
@@ -45,7 +46,7 @@ def clean_title(name: str | None) -> str | None:
     return title.strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def series_title(names: pd.Series) -> pd.Series:
     """Arrow-batched, since Spark has no NFKC; meant for distinct names."""
     return names.map(clean_title)

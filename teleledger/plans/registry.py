@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from teleledger.plans import queries_search
+from teleledger.plans import queries_ingest, queries_recordings, queries_search
 from teleledger.plans.tables import Source
 from teleledger.session import tune
 
-_ALL = {**queries_search.QUERIES}
+_ALL = {**queries_search.QUERIES, **queries_recordings.QUERIES, **queries_ingest.QUERIES}
 
 
 def _bind(build: Callable[[Source], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -111,7 +111,7 @@ CTES = {
 }
 
 
-def with_tables(body: str, *names: str, extra: str = "") -> str:
+def with_tables(body: str, *names: str, recursive: bool = False) -> str:
     """Prefix a query with the derived tables it reads; a body opening its own CTEs starts with a comma."""
     order = [n for n in CTES if n in names or (n == "series" and "program_series" in names)]
-    return "WITH " + ",\n".join(CTES[n] for n in order) + "\n" + body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(CTES[n] for n in order) + "\n" + body
