@@ -135,21 +135,22 @@ def rename_or_merge(series: DataFrame, links: DataFrame, requests: DataFrame) ->
     aims = (
         real.filter(F.col("target") != F.col("series_id"))
         .groupBy(F.col("target").alias("series_id")).agg(F.min("seq").alias("aimed_seq")))
-    flagged = aimed.join(own, "series_id", "left").join(aims, "series_id", "left").withColumn(
-        "free",
-        (F.coalesce("first_seq", "seq") >= F.col("seq")) & (F.coalesce("aimed_seq", "seq") >= F.col("seq")))
+    flagged = aimed.join(own, "series_id", "left").join(aims, "series_id", "left")
+    flagged = flagged.withColumn("first", F.coalesce("first_seq", "seq") >= F.col("seq"))
+    # A series that others merged into before may be renamed, but not merged away in the same round.
+    flagged = flagged.withColumn("free", F.col("first") & (F.coalesce("aimed_seq", "seq") >= F.col("seq")))
 
-    opened = flagged.filter("opening").select("name", F.col("free").alias("opener_free"))
+    opened = flagged.filter("opening").select("name", F.col("first").alias("opener_first"))
     other = own.select(F.col("series_id").alias("target"), F.col("first_seq").alias("t_first"),
                        F.col("second_seq").alias("t_second"))
     judged = flagged.join(opened, "name", "left").join(other, "target", "left")
     into_holder = F.col("free") & (F.coalesce("t_first", F.col("seq") + 1) > F.col("seq"))
-    into_opener = F.col("free") & F.col("opener_free") & (F.col("t_first") == F.col("opens_at")) & (
+    into_opener = F.col("free") & F.col("opener_first") & (F.col("t_first") == F.col("opens_at")) & (
         F.coalesce("t_second", F.col("seq") + 1) > F.col("seq"))
     status = (
         F.when(F.col("same"), F.when(F.coalesce("first_seq", F.col("seq") + 1) > F.col("seq"), "unchanged")
                .otherwise("deferred"))
-        .when(F.col("opening"), F.when(F.col("free"), "renamed").otherwise("deferred"))
+        .when(F.col("opening"), F.when(F.col("first"), "renamed").otherwise("deferred"))
         .when(F.col("target") == F.col("series_id"), "deferred")
         .when(F.when(F.col("holder").isNotNull(), into_holder).otherwise(into_opener), "merged")
         .otherwise("deferred"))
