@@ -6,7 +6,7 @@ wall-clock values, so results never depend on the session's time zone.
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +58,20 @@ def from_micros(micros: Column, wall_clock: bool) -> Column:
     return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 09:00:00").cast("timestamp_ntz"))
 
 
+def jst_date(column: Column, wall_clock: bool) -> Column:
+    """The Japan calendar day, whatever the session's time zone."""
+    if wall_clock:
+        return column.cast("date")
+    micros = F.unix_micros(column) + _JST_SECONDS * 1_000_000
+    return F.date_from_unix_date(F.floor(micros / 86_400_000_000).cast("int"))
+
+
+def jst_day(value: str | datetime) -> date:
+    if isinstance(value, str):
+        value = datetime.fromisoformat(value)
+    return (value if value.tzinfo is None else value.astimezone(JST)).date()
+
+
 def epoch_seconds(column: Column, wall_clock: bool) -> Column:
     return F.floor(epoch_micros(column, wall_clock) / 1_000_000).cast("bigint")
 

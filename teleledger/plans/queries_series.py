@@ -203,6 +203,30 @@ def title_extract(s: Source) -> DataFrame:
     return names.select("name", series_title(F.col("name")).alias("title"))
 
 
+# The title rules for DuckDB's regular expressions: no look-around, and ``$`` spelled out as Python reads it.
+_SQL_RULES = [
+    (r"^\s+|\s+$", "", "g"), (r"\[[^\]]+\]", "", "g"), (r"【[^】]+】", "", "g"), (r"(?-s)[（(<].*?[）)>]", "", "g"),
+    (r"第?[\d一二三四五六七八九十百]+[期章部回話目夜節]", " ", "g"),
+    (r"(?i)(?:Season|Part|Vol|Volume|#|＃|♯)\.?\s*\d+", " ", "g"), (r"(?i)\d+(?:st|nd|rd|th)\s*Season", " ", "g"),
+    (r"\s+[IVXLCDMivxlcdm]+(?:\s|\z|\[|（|「|【)", " ", "g"), (r"(\S)[IVXLCDMivxlcdm]+(\n?)\z", r"\1 \2", ""),
+    (r"(?-s)\s+([\"“★☆▽▼「『(（\[【].*)", " ", "g"), (r"(?-s)\s*[:：〜～\-－/／]{1,2}\s*.*(\n?)\z", r"\1", ""),
+    (r"(?-s)\s+(?:決定戦|SP|スペシャル|総集編|見どころ|オリジナル版|特別編).*(\n?)\z", r"\1", ""),
+    (r"[-–――—〜～\s]+\z", "", ""), (r"^\s+[-–――—〜～\s]+", "", ""), (r"\s{2,}", " ", "g"),
+    (r"(?i)AnichU+(\n?)\z", r"\1", ""), (r"^\s+|\s+$", "", "g"),
+]
+
+
+def _sql_title(column: str) -> str:
+    for pattern, replacement, flags in _SQL_RULES:
+        column = f"regexp_replace({column}, '{pattern}', '{replacement}'{chr(44) + repr(flags) if flags else ''})"
+    return column
+
+
+TITLE_EXTRACT = with_tables(f""", names AS (SELECT name FROM programs
+    UNION SELECT nullif(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '') FROM pages UNION SELECT text FROM conversations)
+SELECT name, {_sql_title("name")} AS title FROM names WHERE name IS NOT NULL""", "programs")
+
+
 def program_titles(s: Source) -> DataFrame:
     """Titles of all program names; where a part is called like one, its stored answer wins."""
     told = s.read("part").select(
@@ -265,7 +289,7 @@ QUERIES = {
     "series_rename_outcome": (series_rename_outcome, SERIES_RENAME_OUTCOME),
     "series_move": (series_move, SERIES_MOVE),
     "series_move_series": (series_move_series, SERIES_MOVE_SERIES),
-    "title_extract": (title_extract, None),
+    "title_extract": (title_extract, TITLE_EXTRACT),
     "program_titles": (program_titles, PROGRAM_TITLES),
     "title_replies": (title_replies, TITLE_REPLIES),
     "series_assign": (series_assign, SERIES_ASSIGN),

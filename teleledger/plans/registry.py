@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from teleledger.plans import queries_ingest, queries_recordings, queries_search, queries_series
+from teleledger.plans import (
+    queries_epg, queries_ingest, queries_recordings, queries_search, queries_series, queries_stream,
+)
 from teleledger.plans.tables import Source
 from teleledger.session import tune
 
-_ALL = {**queries_search.QUERIES, **queries_recordings.QUERIES, **queries_ingest.QUERIES, **queries_series.QUERIES}
+_ALL = {
+    **queries_search.QUERIES, **queries_recordings.QUERIES, **queries_ingest.QUERIES,
+    **queries_series.QUERIES, **queries_epg.QUERIES, **queries_stream.QUERIES,
+}
 
 
 def _bind(build: Callable[[Source], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
