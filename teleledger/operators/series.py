@@ -174,7 +174,8 @@ def _repoint(links: DataFrame, moves: DataFrame) -> DataFrame:
     on = [c for c in ("program_id", "series_id") if c in moves.columns]
     stay = links.select("program_id", "series_id").join(moves.select(*on), on, "left_anti")
     moved = links.join(moves, on).select("program_id", F.col("target").alias("series_id")).distinct()
-    return stay.unionByName(moved.join(stay, ["program_id", "series_id"], "left_anti"))
+    every = stay.unionByName(moved.join(stay, ["program_id", "series_id"], "left_anti"))
+    return every.select("program_id", "series_id")
 
 
 def move_programs(series: DataFrame, links: DataFrame, requests: DataFrame) -> Edited:
