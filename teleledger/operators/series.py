@@ -18,6 +18,7 @@ from teleledger.functions.titles import series_title
 from teleledger.operators.nesting import nested_by_program, with_nested
 from teleledger.operators.paging import only_keys, page_of
 from teleledger.operators.search import PROGRAM_COLUMNS
+from teleledger.session import cut
 
 
 def search_series(series: DataFrame, name: str = "", page: int = 1, size: int = 100,
@@ -112,7 +113,7 @@ def rename_or_merge(series: DataFrame, links: DataFrame, requests: DataFrame) ->
     Requests: ``series_id, name, at, seq``. Status: ``renamed``, ``merged``, ``unchanged``,
     ``deferred`` or ``not_found``.
     """
-    known = series.select(F.col("id").alias("series_id"), F.lit(True).alias("known"))
+    known = series.select(F.col("id").alias("series_id"), F.col("name").alias("old_name"), F.lit(True).alias("known"))
     asked = requests.select("series_id", "name", "at", "seq").join(known, "series_id", "left")
     live = asked.filter("known").drop("known")
     holders = _by_name(series).withColumnRenamed("series_id", "holder")
@@ -154,7 +155,11 @@ def rename_or_merge(series: DataFrame, links: DataFrame, requests: DataFrame) ->
         .when(F.col("target") == F.col("series_id"), "deferred")
         .when(F.when(F.col("holder").isNotNull(), into_holder).otherwise(into_opener), "merged")
         .otherwise("deferred"))
-    judged = judged.withColumn("status", status).select("series_id", "name", "at", "seq", "target", "status")
+    touches = F.array_distinct(F.array(
+        F.concat(F.lit("s"), F.col("series_id").cast("string")), F.concat(F.lit("s"), F.col("target").cast("string")),
+        F.concat(F.lit("n"), F.col("name")), F.concat(F.lit("n"), F.col("old_name"))))
+    judged = _held_back(judged.select("series_id", "name", "at", "seq", "target", status.alias("status"), touches.alias("touches")))
+    judged = judged.select("series_id", "name", "at", "seq", "target", "status")
 
     merged = judged.filter("status = 'merged'").select("series_id", F.col("target"))
     renamed = judged.filter("status = 'renamed'").select(
@@ -169,6 +174,30 @@ def rename_or_merge(series: DataFrame, links: DataFrame, requests: DataFrame) ->
     return Edited(kept, _repoint(links, merged), judged.unionByName(lost))
 
 
+def _held_back(judged: DataFrame, turns: int = 4) -> DataFrame:
+    """Defer as well what touches a series or name that an earlier deferred edit touches.
+
+    Each turn follows one more step of such dependencies; should any be left after the
+    last, everything from the first of them on waits for the next batch.
+    """
+    judged = cut(judged)
+    deferred = F.col("status") == "deferred"
+    for turn in range(turns):
+        held = judged.filter(deferred).select(F.explode("touches").alias("thing"), "seq").groupBy("thing").agg(
+            F.min("seq").alias("since"))
+        late = cut(
+            judged.filter(~deferred).select(F.explode("touches").alias("thing"), "seq").join(held, "thing")
+            .filter(F.col("seq") > F.col("since")).select("seq", F.lit(True).alias("late")).distinct())
+        first = late.agg(F.min("seq")).first()[0]
+        if first is None:
+            return judged
+        if turn == turns - 1:
+            return judged.withColumn("status", F.when(F.col("seq") >= first, "deferred").otherwise(F.col("status")))
+        judged = cut(judged.join(late, "seq", "left").withColumn(
+            "status", F.when(F.col("late"), "deferred").otherwise(F.col("status"))).drop("late"))
+    return judged
+
+
 def _repoint(links: DataFrame, moves: DataFrame) -> DataFrame:
     """Links with ``series_id`` replaced by ``target``; no pair twice. Untouched links are not shuffled for that."""
     on = [c for c in ("program_id", "series_id") if c in moves.columns]
@@ -193,8 +222,8 @@ def move_programs(series: DataFrame, links: DataFrame, requests: DataFrame) -> E
     firsts = asked.filter("name <> ''").groupBy("program_id").agg(F.min("seq").alias("first_seq"))
     asked = asked.join(firsts, "program_id", "left").withColumn(
         "status", F.when(F.col("name") == "", "refused").when(F.col("seq") > F.col("first_seq"), "deferred"))
-    open_ = asked.filter("status IS NULL")
-    after, targets = get_or_create(series, open_.select("name", F.col("at").alias("created_at"), "seq"))
+    # A deferred request makes its series all the same, so the first request for a name dates it.
+    after, targets = get_or_create(series, asked.select("name", F.col("at").alias("created_at"), "seq"))
     judged = asked.join(targets.withColumnRenamed("series_id", "target"), "name", "left").withColumn(
         "status", F.coalesce("status", F.when(F.col("target") == F.col("series_id"), "unchanged").otherwise("moved")))
     moves = judged.filter("status = 'moved'").select("program_id", "series_id", "target")

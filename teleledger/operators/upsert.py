@@ -31,6 +31,9 @@ REACH = 12 * 3600 * 1_000_000
 # Sorts before every arrival: the place of a program already stored.
 STORED = -(2**62)
 
+# Arrivals replayed by one Python call, about.
+SHARE = 200_000
+
 KEY = ["event_id", "service_id"]
 DETAILS = ["name", "duration", "text", "ext_text", "genre"]
 _PROGRAM = ["id", *KEY, "name", "start_time", "duration", "text", "ext_text", "genre", "created_at"]
@@ -63,6 +66,7 @@ def _half_day_stats(entries: DataFrame) -> DataFrame:
         F.min(F.when(F.col("ord") != STORED, F.col("ord"))).alias("first_seq"),
         F.min_by("created_us", "ord").alias("created_us"),
         F.sum(F.when(F.col("ord") == STORED, 1).otherwise(0)).alias("stored"),
+        F.count("*").alias("n"),
     )
     return per_start.groupBy(*KEY, F.floor(F.col("start_us") / REACH).cast("bigint").alias("bucket")).agg(
         F.min("start_us").alias("lo"),
@@ -74,6 +78,7 @@ def _half_day_stats(entries: DataFrame) -> DataFrame:
         F.min("first_seq").alias("first_seq"),
         F.max("last_seq").alias("last_seq"),
         F.sum("stored").alias("stored"),
+        F.sum("n").alias("n"),
     )
 
 
@@ -103,7 +108,7 @@ def _placed(stats: DataFrame) -> DataFrame:
     row = Window.partitionBy(*KEY, "segment", "nth")
     first = F.min("head").over(row)
     return cut.filter("touched").select(
-        *KEY, "bucket", "segment", "closed", first.alias("head"),
+        *KEY, "bucket", "segment", "closed", "n", F.sum("n").over(whole).alias("size"), first.alias("head"),
         F.min_by("head_start", "head").over(row).alias("head_start"),
         F.min_by("head_created", "head").over(row).alias("row_created"),
         F.max("hi").over(row).alias("row_start"),
@@ -138,32 +143,38 @@ _REPLAYED = T.StructType(
     + [T.StructField(n, T.LongType()) for n in ("head", "head_start", "peak", "row_start", "row_created")])
 
 
-def _replay(segment: pd.DataFrame) -> pd.DataFrame:
-    """Apply a segment's remaining arrivals in order; one line per arrival with its program's end state."""
-    stored = segment["ord"] == STORED
+def _replay(segments: pd.DataFrame) -> pd.DataFrame:
+    """Apply the arrivals of some segments in order; one line per arrival with its program's end state."""
+    segments = segments.sort_values([*KEY, "segment", "ord", "start_us", "stored_id"])
+    owners: list[tuple[int, dict]] = []
+    here = None
     starts: list[int] = []
     rows: list[dict] = []
-    old = segment[stored].sort_values(["start_us", "stored_id"], ascending=[True, False])
-    for entry in old.itertuples():
-        starts.append(entry.start_us)
-        rows.append({"stored_id": entry.stored_id, "head": STORED, "head_start": entry.start_us,
-                     "peak": STORED, "row_start": entry.start_us, "row_created": entry.created_us})
-    matched: list[tuple[int, dict]] = []
-    for entry in segment[~stored].sort_values("ord").itertuples():
-        start = entry.start_us
-        at = bisect_right(starts, start + REACH) - 1
-        if at >= 0 and starts[at] >= start - REACH:
-            row = rows[at]
-            if start > starts[at]:
-                starts[at] = row["row_start"] = start
-                row["peak"] = entry.ord
+    columns = (segments[c].tolist() for c in (*KEY, "segment", "ord", "start_us", "created_us", "stored_id"))
+    for event, service, segment, ord_, start, created, stored_id in zip(*columns):
+        if here != (event, service, segment):
+            here, starts, rows = (event, service, segment), [], []
+        if ord_ == STORED:
+            # Stored rows come first, by start; of equal starts the smallest id is met last.
+            at = bisect_left(starts, start)
         else:
-            row = {"stored_id": None, "head": entry.ord, "head_start": start, "peak": entry.ord,
-                   "row_start": start, "row_created": entry.created_us}
-            starts.insert(at + 1, start)
-            rows.insert(at + 1, row)
-        matched.append((entry.ord, row))
-    return pd.DataFrame([{"seq": seq, **row} for seq, row in matched], columns=_REPLAYED.names)
+            at = bisect_right(starts, start + REACH) - 1
+            if at >= 0 and starts[at] >= start - REACH:
+                row = rows[at]
+                if start > starts[at]:
+                    starts[at] = row["row_start"] = start
+                    row["peak"] = ord_
+                owners.append((ord_, row))
+                continue
+            at += 1
+        row = {"stored_id": stored_id, "head": ord_, "head_start": start, "peak": ord_, "row_start": start,
+               "row_created": created}
+        starts.insert(at, start)
+        rows.insert(at, row)
+        if ord_ != STORED:
+            owners.append((ord_, row))
+    matched = [{"seq": seq, **row} for seq, row in owners]
+    return pd.DataFrame(matched, columns=_REPLAYED.names)
 
 
 def _program_id(stored_id: str = "stored_id") -> F.Column:
@@ -204,8 +215,9 @@ def upsert_programs(programs: DataFrame, arrivals: DataFrame) -> Upsert:
     closed = incoming.withColumn("bucket", bucket).join(closed_map, [*KEY, "bucket"]).drop("bucket")
 
     resolved = closed.select(*incoming.columns, *_ROW)
-    if not placed.filter("NOT closed").isEmpty():
-        loose = _loose(incoming, slim_old, slim_new, placed, bucket)
+    to_replay = placed.filter("NOT closed").agg(F.sum("n")).first()[0]
+    if to_replay:
+        loose = _loose(incoming, slim_old, slim_new, placed, bucket, to_replay)
         resolved = resolved.unionByName(loose.select(*incoming.columns, *_ROW))
     # Ids and all table changes follow from this; it is worked out once.
     resolved = cut(resolved)
@@ -213,21 +225,33 @@ def upsert_programs(programs: DataFrame, arrivals: DataFrame) -> Upsert:
 
 
 def _loose(incoming: DataFrame, slim_old: DataFrame, slim_new: DataFrame, placed: DataFrame,
-           bucket: F.Column) -> DataFrame:
+           bucket: F.Column, total: int) -> DataFrame:
     """Arrivals of segments without a closed form, each with its program."""
-    where = placed.filter("NOT closed").select(*KEY, "bucket", "segment")
+    where = placed.filter("NOT closed").select(*KEY, "bucket", "segment", "size")
     slim_new = slim_new.withColumn("bucket", bucket).join(where, [*KEY, "bucket"])
     slim_old = slim_old.withColumn("bucket", bucket).join(where, [*KEY, "bucket"])
-    # Blocks hold at most ``BLOCK`` arrivals, whatever the segment's size.
-    thinned = cut(
-        slim_new.select(*KEY, "segment", "start_us", F.col("ord").alias("seq"))
-        .groupBy(*KEY, "segment", F.floor(F.col("seq") / BLOCK).alias("block")).applyInPandas(_thin, _KEPT))
-    kept = slim_new.join(thinned.filter("seq = rep").select(F.col("seq").alias("ord")), "ord", "left_semi")
     columns = [*KEY, "segment", "start_us", "ord", "created_us", "stored_id"]
-    replayed = (
-        kept.select(*columns).unionByName(slim_old.select(*columns))
-        .groupBy(*KEY, "segment").applyInPandas(_replay, _REPLAYED).withColumnRenamed("seq", "rep"))
-    return incoming.join(thinned, "seq").join(replayed, "rep").withColumn("program_id", _program_id())
+    entries = slim_new.filter(F.col("size") <= BLOCK).select(*columns).unionByName(slim_old.select(*columns))
+
+    thinned = None
+    if not where.filter(F.col("size") > BLOCK).isEmpty():
+        # Blocks hold at most ``BLOCK`` arrivals, whatever the segment's size.
+        large = slim_new.filter(F.col("size") > BLOCK)
+        thinned = cut(
+            large.select(*KEY, "segment", "start_us", F.col("ord").alias("seq"))
+            .groupBy(*KEY, "segment", F.floor(F.col("seq") / BLOCK).alias("block")).applyInPandas(_thin, _KEPT))
+        kept = large.join(thinned.filter("seq = rep").select(F.col("seq").alias("ord")), "ord", "left_semi")
+        entries = entries.unionByName(kept.select(*columns))
+
+    # Many small segments share one Python call.
+    share = F.pmod(F.xxhash64(*KEY, "segment"), F.lit(total // SHARE + 1))
+    replayed = entries.groupBy(share.alias("share")).applyInPandas(_replay, _REPLAYED)
+    if thinned is None:
+        found = incoming.join(replayed, "seq")
+    else:
+        stand_ins = incoming.join(thinned, "seq", "left").withColumn("rep", F.coalesce("rep", "seq"))
+        found = stand_ins.join(replayed.withColumnRenamed("seq", "rep"), "rep")
+    return found.withColumn("program_id", _program_id())
 
 
 def _changes(resolved: DataFrame, old: DataFrame, wall: bool) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from teleledger import schema
@@ -19,43 +19,56 @@ _REQUIRED = ["current_event_id", "current_event_service_id", "current_event_name
 _NULLABLE = ["current_content_nibble"]
 
 
+def _reading(text: Column) -> Column:
+    """Everything there is to know about one report, parsed once."""
+    parsed = F.struct(
+        F.from_json(text, schema.PLAYER_STATUS).alias("s"),
+        F.coalesce(F.json_object_keys(text), F.array().cast("array<string>")).alias("keys"))
+
+    def read(r: Column) -> Column:
+        s, keys = r["s"], r["keys"]
+        complete = F.lit(True)
+        for name in _REQUIRED:
+            complete = complete & s[name].isNotNull()
+        for name in _NULLABLE:
+            complete = complete & F.array_contains(keys, name)
+        start, seen = clock.to_instant(s["current_event_start_time"]), clock.to_instant(s["tot"])
+        speed_named = F.array_contains(keys, "speed")
+        sound = complete & start.isNotNull() & seen.isNotNull() & (~speed_named | s["speed"].isNotNull())
+        verdict = (
+            F.when(s["play_status"].eqNullSafe("finished"), "finished")
+            .when(F.coalesce(sound, F.lit(False)), "view").otherwise("rejected"))
+        nothing = F.lit(None).cast("string")
+        program = F.struct(
+            s["current_event_id"].alias("event_id"), s["current_event_service_id"].alias("service_id"),
+            s["current_event_name"].alias("name"), start.alias("start_time"),
+            s["current_event_duration"].alias("duration"), nothing.alias("text"), nothing.alias("ext_text"),
+            s["current_content_nibble"].alias("genre"))
+        return F.struct(
+            verdict.alias("verdict"), program.alias("program"), seen.alias("viewed_time"),
+            F.coalesce(s["speed"] / 100.0, F.lit(DEFAULT_SPEED)).alias("speed"))
+
+    return F.transform(F.array(parsed), read)
+
+
 def judge_status(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Add the parsed report and ``verdict``: view, finished or rejected."""
-    text = F.col(value).cast("string")
-    keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
-    rows = lines.select("*", F.from_json(text, schema.PLAYER_STATUS).alias("s"), keys.alias("_keys"))
-    complete = F.lit(True)
-    for name in _REQUIRED:
-        complete = complete & F.col(f"s.{name}").isNotNull()
-    for name in _NULLABLE:
-        complete = complete & F.array_contains("_keys", name)
-    started = clock.to_instant(F.col("s.current_event_start_time"))
-    seen = clock.to_instant(F.col("s.tot"))
-    no_speed = ~F.array_contains("_keys", "speed")
-    sound = complete & started.isNotNull() & seen.isNotNull() & (no_speed | F.col("s.speed").isNotNull())
-    verdict = (
-        F.when(F.col("s.play_status").eqNullSafe("finished"), "finished")
-        .when(F.coalesce(sound, F.lit(False)), "view").otherwise("rejected"))
-    return rows.select("*", started.alias("_start"), seen.alias("_seen"), verdict.alias("verdict"))
+    """Add ``reading`` with the ``verdict`` (view, finished or rejected) and the view arrival's fields.
+
+    The one-element array is exploded so that later filters on the verdict do not parse the text again.
+    """
+    return lines.select("*", F.explode_outer(_reading(F.col(value).cast("string"))).alias("reading"))
 
 
 def status_to_view(lines: DataFrame, value: str = "value") -> DataFrame:
     """View arrivals of all usable reports, other columns of the rows kept."""
-    rows = judge_status(lines, value).filter("verdict = 'view'")
-    nothing = F.lit(None).cast("string")
-    program = F.struct(
-        F.col("s.current_event_id").alias("event_id"), F.col("s.current_event_service_id").alias("service_id"),
-        F.col("s.current_event_name").alias("name"), F.col("_start").alias("start_time"),
-        F.col("s.current_event_duration").alias("duration"), nothing.alias("text"), nothing.alias("ext_text"),
-        F.col("s.current_content_nibble").alias("genre"))
+    rows = judge_status(lines, value).filter("reading.verdict = 'view'")
     return rows.select(
-        *[c for c in lines.columns if c != value], program.alias("program"), F.col("_seen").alias("viewed_time"),
-        F.coalesce(F.col("s.speed") / 100.0, F.lit(DEFAULT_SPEED)).alias("speed"))
+        *[c for c in lines.columns if c != value], "reading.program", "reading.viewed_time", "reading.speed")
 
 
 def rejected_status(lines: DataFrame, value: str = "value") -> DataFrame:
     """Reports to set aside, as they came."""
-    return judge_status(lines, value).filter("verdict = 'rejected'").select(*lines.columns)
+    return judge_status(lines, value).filter("reading.verdict = 'rejected'").select(*lines.columns)
 
 
 def watched_windows(views: DataFrame, lateness: str = "1 hour") -> DataFrame:
