@@ -97,10 +97,11 @@ def reservation_rows(requests: DataFrame, events: DataFrame) -> tuple[DataFrame,
     start = F.col("start_time")
     near = requests.join(guide, EVENT_KEY).filter(
         (start >= F.col("requested_at")) & (start < F.timestamp_add("DAY", F.lit(1), F.col("requested_at"))))
-    first = near.groupBy("request_id", *EVENT_KEY).agg(
-        F.min_by(F.struct("start_time", "duration", "event_name"), "place").alias("e"))
+    # By request alone: requests for one popular event are spread out again.
+    first = near.groupBy("request_id").agg(
+        F.min_by(F.struct(*EVENT_KEY, "start_time", "duration", "event_name"), "place").alias("e"))
     rows = first.select(
-        "request_id", *EVENT_KEY, F.col("e.event_name").alias("title"), F.col("e.start_time").alias("start_time"),
+        "request_id", *[F.col(f"e.{c}").alias(c) for c in EVENT_KEY], F.col("e.event_name").alias("title"), F.col("e.start_time").alias("start_time"),
         F.col("e.start_time").alias("start_time_epg"), F.col("e.duration").alias("duration_second"),
         F.lit("").alias("station_name"), *[F.lit(v).alias(k) for k, v in RESERVATION_SETTINGS.items()],
         F.array().cast("array<string>").alias("rec_folder_list"),

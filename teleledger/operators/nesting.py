@@ -26,21 +26,25 @@ def nested_by_program(
 ) -> DataFrame:
     """``program_id, part, parts, viewed_times, recordings`` for the programs in ``keys``.
 
+    ``bound`` is a proven limit on the keys' rows: then the tables are cut down to them
+    first. Otherwise they are aggregated first, so that no shuffle gathers one program's rows.
     Both arrays ascend. Programs with neither views nor recordings have no row here.
     """
-    moments = (
-        only_keys(views.select("program_id", "viewed_time"), keys, "program_id", bound)
-        .filter(F.col("viewed_time").isNotNull())
+    bounded = bound is not None and bound <= BROADCAST_ROWS
+
+    def rows_of(table: DataFrame, *columns: str) -> DataFrame:
+        rows = table.select("program_id", *columns)
+        return only_keys(rows, keys, "program_id", bound) if bounded else rows
+
+    entries = (
+        rows_of(views, "viewed_time").filter(F.col("viewed_time").isNotNull())
         .groupBy("program_id", "viewed_time").agg(F.count("*").alias("copies"))
-        .select("program_id", "viewed_time", F.lit(None).cast("string").alias("rid"), "copies")
-    )
-    entries = moments
+        .select("program_id", "viewed_time", F.lit(None).cast("string").alias("rid"), "copies"))
     id_type = "string"
     if recordings is not None:
         id_type = recordings.schema["id"].dataType.simpleString()
-        files = recordings.filter("deleted_at IS NULL") if live_only else recordings
-        files = only_keys(files.select("program_id", "id"), keys, "program_id", bound)
-        entries = moments.unionByName(files.select(
+        files = rows_of(recordings.filter("deleted_at IS NULL") if live_only else recordings, "id")
+        entries = entries.unionByName(files.select(
             "program_id",
             F.lit(None).cast(views.schema["viewed_time"].dataType).alias("viewed_time"),
             F.col("id").cast("string").alias("rid"),
@@ -50,8 +54,10 @@ def nested_by_program(
     # Entries per program, summed on the map side, decide the number of parts.
     sizes = entries.groupBy("program_id").agg(
         F.ceil(F.sum("copies") / part_rows).cast("bigint").alias("parts"))
-    bounded = bound is not None and bound <= BROADCAST_ROWS
-    sized = entries.join(F.broadcast(sizes) if bounded else sizes, "program_id")
+    if bounded:
+        sized = entries.join(F.broadcast(sizes), "program_id")
+    else:
+        sized = entries.join(sizes.join(keys.select("program_id").distinct(), "program_id", "left_semi"), "program_id")
 
     # Copies of one moment beyond a part's size are spread over parts as well.
     spread = (
@@ -63,6 +69,9 @@ def nested_by_program(
             F.pmod(F.xxhash64("viewed_time", "rid", "slice"), F.col("parts"))).cast("int"))
     )
     time = F.when(F.col("viewed_time").isNotNull(), F.struct("viewed_time", "n"))
+    if not bounded:
+        # By part as well: the join above leaves all parts of a program in one place.
+        spread = spread.repartition("program_id", "part")
     out = spread.groupBy("program_id", "part").agg(
         F.first("parts").alias("parts"),
         F.array_sort(F.collect_list(time)).alias("times"),

@@ -53,9 +53,8 @@ def judge_patches(recordings: DataFrame, patches: DataFrame) -> DataFrame:
         .alias("put"),
         F.when(~F.col("malformed") & F.col("moves"), F.struct("seq", "file_folder")).alias("move"),
     )
-    history = last_before(sound, "id", "seq", ["put", "move"])
     now = recordings.select("id", F.col("file_path").alias("stored_path"), F.lit(True).alias("known"))
-    rows = history.join(now, "id", "left")
+    rows = last_before(sound, "id", "seq", ["put", "move"], initial=now)
 
     base = F.coalesce(F.col("prev_put.path"), F.col("stored_path"))
     moved = F.col("prev_move.seq") > F.coalesce(F.col("prev_put.seq"), F.lit(-(2**62)))

@@ -38,10 +38,9 @@ def filter_programs(programs: DataFrame, from_: When = None, to: When = None, na
     return found.filter(text.contains(F.col("name"), name, case_sensitive)) if name else found
 
 
-def _nest_programs(page: DataFrame, views: DataFrame, recordings: DataFrame, bound: int | None,
+def _nest_programs(page: DataFrame, views: DataFrame, recordings: DataFrame, keys: DataFrame, bound: int | None,
                    live_only: bool) -> DataFrame:
-    keyed = page.select(F.col("id").alias("program_id"))
-    nested = nested_by_program(views, recordings, keyed, bound, live_only)
+    nested = nested_by_program(views, recordings, keys.select(F.col("id").alias("program_id")), bound, live_only)
     return with_nested(page, nested, "id").withColumn("end_time", clock.end_time())
 
 
@@ -51,7 +50,7 @@ def search_programs(programs: DataFrame, views: DataFrame, recordings: DataFrame
     """Programs, newest first, one page, with all view times and recording ids."""
     found = filter_programs(programs, from_, to, name, case_sensitive).select(*PROGRAM_COLUMNS)
     rows = kept(page_of(found, [F.desc("start_time"), F.asc("id")], page, size))
-    return _nest_programs(rows, views, recordings, size, live_only).orderBy(
+    return _nest_programs(rows, views, recordings, rows, size, live_only).orderBy(
         F.desc("start_time"), "id", "part")
 
 
@@ -64,7 +63,7 @@ def programs_by_id(programs: DataFrame, views: DataFrame, recordings: DataFrame,
                    bound: int | None = None, live_only: bool = True) -> DataFrame:
     """Programs whose ``id`` is in ``keys``; recordings not deleted only, unless asked otherwise."""
     rows = only_keys(programs.select(*PROGRAM_COLUMNS), keys, "id", bound)
-    return _nest_programs(rows, views, recordings, bound, live_only)
+    return _nest_programs(rows, views, recordings, keys, bound, live_only)
 
 
 def search_views(views: DataFrame, page: int = 1, size: int = 500) -> DataFrame:
@@ -87,9 +86,9 @@ def _recording_rows(recordings: DataFrame, programs: DataFrame) -> DataFrame:
     return left.join(right, "program_id")
 
 
-def _nest_recordings(rows: DataFrame, views: DataFrame, recordings: DataFrame, bound: int | None,
+def _nest_recordings(rows: DataFrame, views: DataFrame, recordings: DataFrame, keys: DataFrame, bound: int | None,
                      live_only: bool) -> DataFrame:
-    nested = nested_by_program(views, recordings, rows.select("program_id").distinct(), bound, live_only)
+    nested = nested_by_program(views, recordings, keys.select("program_id").distinct(), bound, live_only)
     full = with_nested(rows, nested, "program_id")
     program = F.col("program")
     for name, value in (
@@ -119,15 +118,15 @@ def search_recordings(recordings: DataFrame, programs: DataFrame, views: DataFra
         shows = shows.filter(F.col("id") == F.lit(program_id))
     rows = kept(page_of(_recording_rows(files, shows),
                         [F.desc("start_time"), F.asc("created_at"), F.asc("id")], page, size))
-    return _nest_recordings(rows, views, recordings, size, live_only).orderBy(
+    return _nest_recordings(rows, views, recordings, rows, size, live_only).orderBy(
         F.desc("program.start_time"), "created_at", "id", "part")
 
 
 def recordings_by_id(recordings: DataFrame, programs: DataFrame, views: DataFrame, keys: DataFrame,
                      bound: int | None = None, live_only: bool = True) -> DataFrame:
     """Recordings whose ``id`` is in ``keys``, in the same shape."""
-    rows = _recording_rows(only_keys(recordings, keys, "id", bound), programs)
-    return _nest_recordings(rows, views, recordings, bound, live_only)
+    files = only_keys(recordings, keys, "id", bound)
+    return _nest_recordings(_recording_rows(files, programs), views, recordings, files, bound, live_only)
 
 
 def program_timeline(found: DataFrame, millis: bool = False) -> DataFrame:

@@ -46,7 +46,8 @@ def series_programs(series: DataFrame, links: DataFrame, programs: DataFrame, vi
     order = Window.partitionBy("series_id").orderBy(F.desc("start_time"), F.asc("program_id"))
     ranked = wanted.join(times, "program_id").withColumn("place", F.row_number().over(order))
     paged = ranked.filter(F.col("place") <= page * size).filter(F.col("place") > (page - 1) * size)
-    paged = paged.select("series_id", F.col("program_id").alias("id"), "place").join(heads, "series_id")
+    # Ids and places only; the details, and both arrays, look them up again.
+    paged = cut(paged.select("series_id", F.col("program_id").alias("id"), "place").join(heads, "series_id"))
 
     shown = paged.join(programs.select(*PROGRAM_COLUMNS), "id")
     nested = nested_by_program(views, recordings, paged.select(F.col("id").alias("program_id")))
