@@ -45,7 +45,7 @@ def digestions(programs: DataFrame, recordings: DataFrame, views: DataFrame, nam
     """One page of the backlog, newest first unless ``ascending``, with view times."""
     order = F.asc("start_time") if ascending else F.desc("start_time")
     rows = kept(page_of(unfinished(programs, recordings, views, name, case_sensitive),
-                        [order, F.asc("id")], page, size))
+                        [order, F.asc("id")], page, size, "start_time", not ascending))
     nested = nested_by_program(views, None, rows.select(F.col("id").alias("program_id")), size)
     return (
         with_nested(rows, nested, "id").drop("recordings")

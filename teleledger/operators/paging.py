@@ -3,22 +3,48 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Key sets up to this many rows are sent to every task; larger ones are shuffled.
 BROADCAST_ROWS = 100_000
 
 
-def page_of(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    """One page of a total order: top-k per task, then a merge; no full sort."""
+def page_of(df: DataFrame, order: list[Column], page: int, size: int, by: str, descending: bool = True,
+            deep_from: int = BROADCAST_ROWS) -> DataFrame:
+    """One page of a total order that starts with the time column ``by``.
+
+    Near pages are a top-k per task and a merge. Pages that end beyond ``deep_from`` rows
+    are found by counting, see ``_deep_page``.
+    """
     if page < 1 or size < 1:
         raise ValueError("page and size must be at least 1")
     offset = (page - 1) * size
+    if offset + size > deep_from:
+        return _deep_page(df, order, offset, size, by, descending)
     ordered = df.orderBy(*order)
     return (ordered.offset(offset) if offset else ordered).limit(size)
 
 
+def _deep_page(df: DataFrame, order: list[Column], offset: int, size: int, by: str, descending: bool) -> DataFrame:
+    """Count rows per minute, run up the counts, and rank only the minutes the page falls in.
+
+    The running count is over one row per minute of the calendar, whatever the table's size.
+    """
+    dated = df.withColumn("_minute", F.date_trunc("MINUTE", F.col(by)))
+    upto = Window.orderBy(F.desc("_minute") if descending else F.asc("_minute")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    counts = dated.groupBy("_minute").agg(F.count("*").alias("_n"))
+    spans = counts.withColumn("_end", F.sum("_n").over(upto)).withColumn("_start", F.col("_end") - F.col("_n"))
+    hit = spans.filter((F.col("_end") > offset) & (F.col("_start") < offset + size)).select("_minute", "_start")
+    # Every minute hit holds a row of the page, so there are at most ``size`` of them.
+    near = dated.join(F.broadcast(hit) if size <= BROADCAST_ROWS else hit, "_minute")
+    place = F.col("_start") + F.row_number().over(Window.partitionBy("_minute").orderBy(*order))
+    ranked = near.withColumn("_place", place).filter(
+        (F.col("_place") > offset) & (F.col("_place") <= offset + size))
+    return ranked.select(*df.columns).orderBy(*order)
+
+
 def kept(page: DataFrame) -> DataFrame:
     """Hold a page that several joins read, so its search runs once; rebuilt if an executor is lost."""
     return page.persist(StorageLevel.MEMORY_AND_DISK)

@@ -49,7 +49,7 @@ def search_programs(programs: DataFrame, views: DataFrame, recordings: DataFrame
                     case_sensitive: bool = False, live_only: bool = False) -> DataFrame:
     """Programs, newest first, one page, with all view times and recording ids."""
     found = filter_programs(programs, from_, to, name, case_sensitive).select(*PROGRAM_COLUMNS)
-    rows = kept(page_of(found, [F.desc("start_time"), F.asc("id")], page, size))
+    rows = kept(page_of(found, [F.desc("start_time"), F.asc("id")], page, size, "start_time"))
     return _nest_programs(rows, views, recordings, rows, size, live_only).orderBy(
         F.desc("start_time"), "id", "part")
 
@@ -70,7 +70,7 @@ def search_views(views: DataFrame, page: int = 1, size: int = 500) -> DataFrame:
     """All views, newest entry first, one page."""
     columns = views.select("program_id", "viewed_time", "speed", "created_at")
     return page_of(columns, [F.desc("created_at"), F.asc("program_id"), F.asc("viewed_time"), F.asc("speed")],
-                   page, size)
+                   page, size, "created_at")
 
 
 def views_of_programs(views: DataFrame, keys: DataFrame, bound: int | None = None) -> DataFrame:
@@ -117,7 +117,7 @@ def search_recordings(recordings: DataFrame, programs: DataFrame, views: DataFra
         files = files.filter(F.col("program_id") == F.lit(program_id))
         shows = shows.filter(F.col("id") == F.lit(program_id))
     rows = kept(page_of(_recording_rows(files, shows),
-                        [F.desc("start_time"), F.asc("created_at"), F.asc("id")], page, size))
+                        [F.desc("start_time"), F.asc("created_at"), F.asc("id")], page, size, "start_time"))
     return _nest_recordings(rows, views, recordings, rows, size, live_only).orderBy(
         F.desc("program.start_time"), "created_at", "id", "part")
 

@@ -26,7 +26,7 @@ def search_series(series: DataFrame, name: str = "", page: int = 1, size: int =
     found = series.select("id", "name", "created_at", "modified_at")
     if name:
         found = found.filter(text.contains(F.col("name"), name, case_sensitive))
-    return page_of(found, [F.desc("modified_at"), F.asc("id")], page, size)
+    return page_of(found, [F.desc("modified_at"), F.asc("id")], page, size, "modified_at")
 
 
 def series_programs(series: DataFrame, links: DataFrame, programs: DataFrame, views: DataFrame,

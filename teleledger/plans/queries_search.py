@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from teleledger.functions import clock
 from teleledger.operators import digest, search
+from teleledger.operators.paging import page_of
 from teleledger.plans.tables import Source, with_tables
 
 _VIEWED = """va AS (SELECT program_id, count(*) AS view_count,
@@ -119,6 +120,16 @@ VIEW_SEARCH = with_tables("""SELECT program_id, viewed_time, speed, created_at F
 ORDER BY created_at DESC, program_id, viewed_time, speed LIMIT 500""", "views")
 
 
+def view_search_deep(s: Source) -> DataFrame:
+    """A page far down, found by counting instead of sorting."""
+    return page_of(s.views, [F.desc("created_at"), F.asc("program_id"), F.asc("viewed_time"), F.asc("speed")],
+                   7, 1000, "created_at", deep_from=0)
+
+
+VIEW_SEARCH_DEEP = with_tables("""SELECT program_id, viewed_time, speed, created_at FROM views
+ORDER BY created_at DESC, program_id, viewed_time, speed LIMIT 1000 OFFSET 6000""", "views")
+
+
 def views_of_programs(s: Source) -> DataFrame:
     """Keys: every program in the backlog."""
     keys = digest.unfinished(s.programs, s.recordings, s.views).select(F.col("id").alias("program_id"))
@@ -228,6 +239,7 @@ QUERIES = {
     "recent_programs": (recent_programs, RECENT_PROGRAMS),
     "programs_by_id": (programs_by_id, PROGRAMS_BY_ID),
     "view_search": (view_search, VIEW_SEARCH),
+    "view_search_deep": (view_search_deep, VIEW_SEARCH_DEEP),
     "views_of_programs": (views_of_programs, VIEWS_OF_PROGRAMS),
     "recording_search": (recording_search, RECORDING_SEARCH),
     "recordings_by_id": (recordings_by_id, RECORDINGS_BY_ID),

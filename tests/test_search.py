@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from teleledger.operators import digest, search
 from teleledger.operators.nesting import nested_by_program
+from teleledger.operators.paging import page_of
 
 DAY = "2025-05-12 "
 
@@ -141,3 +142,19 @@ def test_digestions(tables):
     assert ids(digest.digestions(p, r, v, name="test")) == [1]
     positions = {(x.program_id, round(x.position, 4)) for x in digest.view_positions(p, v).collect()}
     assert positions == {(1, 0.1667), (1, 0.3333), (2, 0.1667)}
+
+
+def test_deep_pages_equal_near_ones(spark):
+    rows = spark.range(3000).select(
+        "id", F.timestamp_add("SECOND", (F.col("id") * 7919) % 5000, F.lit(DAY + "00:00").cast("timestamp_ntz")).alias("t"))
+    for descending in (True, False):
+        order = [F.desc("t") if descending else F.asc("t"), F.asc("id")]
+        for page, size in ((1, 100), (4, 333), (3, 1000), (9, 400)):
+            near = page_of(rows, order, page, size, "t", descending).collect()
+            assert page_of(rows, order, page, size, "t", descending, deep_from=0).collect() == near
+
+
+def test_hot_program_is_spread(spark, tables):
+    p, v, r = tables
+    plan = nested_by_program(v, r, p.select(F.col("id").alias("program_id")))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(program_id" in plan and ", part#" in plan.split("REPARTITION_BY_COL")[0].rsplit("Exchange", 1)[1]
