@@ -17,7 +17,11 @@ from teleledger.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("4", "tests", **{
-        "spark.sql.shuffle.partitions": "4",
+        "spark.sql.shuffle.partitions": "2",
+        # Tables of a few rows: compiling a plan costs more than running it.
+        "spark.sql.codegen.wholeStage": "false",
+        "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+        "spark.default.parallelism": "2",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"})
     yield session

@@ -5,7 +5,6 @@ import random
 import re
 from datetime import datetime, timedelta
 
-import pytest
 from conftest import at
 from pyspark.sql import functions as F
 
@@ -55,14 +54,18 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("path,before,given,status,after,command", CASES)
-def test_patch(spark, make, path, before, given, status, after, command):
-    new, judged = recordings.patch_recordings(stored(make, path, **before), patch_rows(spark, [(1, 1, given)]))
-    assert judged.first().status == status
-    row = new.first().asDict()
-    assert {k: row[k] for k in after} == after
-    sent = [json.loads(r.value) for r in commands.file_commands(judged).collect()]
-    assert sent == ([command] if command else [])
+def test_patches(spark, make):
+    table = make("recordings", [{"id": i, "program_id": 1, "file_path": path, "file_size": 9, "created_at": T1, **before}
+                                for i, (path, before, *_) in enumerate(CASES)])
+    patches = patch_rows(spark, [(i, i, case[2]) for i, case in enumerate(CASES)])
+    new, judged = recordings.patch_recordings(table, patches)
+    outcome = {r.id: r.status for r in judged.collect()}
+    rows = {r.id: r.asDict() for r in new.collect()}
+    sent = {r.id: json.loads(r.value) for r in commands.file_commands(judged).collect()}
+    for i, (_, _, given, status, after, command) in enumerate(CASES):
+        assert outcome[i] == status, given
+        assert {k: rows[i][k] for k in after} == after, given
+        assert sent.get(i) == command, given
 
 
 def test_unknown_recording(spark, make):

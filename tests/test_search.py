@@ -123,16 +123,17 @@ def test_timeline(tables):
     assert ms.start_time_ms == 1747018800000 and ms.recording_id == 1
 
 
-@pytest.mark.parametrize("seconds,samples,listed", [(1800, 1, True), (1800, 4, True), (1800, 5, False), (375, 1, False), (1, 0, True)])
-def test_digestion_threshold(make, seconds, samples, listed):
-    p = make("programs", [program(1, DAY + "12:00", seconds)])
-    v = make("views", [{"program_id": 1, "viewed_time": at(DAY + "12:05"), "created_at": at(DAY + "12:05")}] * samples)
-    r = make("recordings", [{"id": 1, "program_id": 1, "file_path": "x", "created_at": at(DAY + "12:30")},
-                            {"id": 2, "program_id": 1, "file_path": "x", "created_at": at(DAY + "12:30"), "watched_at": at(DAY + "12:31")}])
-    rows = digest.digestions(p, r, v).collect()
-    assert bool(rows) is listed
-    if listed:
-        assert rows[0].watched_seconds == 300 * samples and len(rows[0].viewed_times) == samples
+def test_digestion_threshold(make):
+    cases = {1: (1800, 1, True), 2: (1800, 4, True), 3: (1800, 5, False), 4: (375, 1, False), 5: (1, 0, True)}
+    p = make("programs", [program(i, DAY + "12:00", seconds) for i, (seconds, _, _) in cases.items()])
+    v = make("views", [{"program_id": i, "viewed_time": at(DAY + "12:05"), "created_at": at(DAY + "12:05")}
+                       for i, (_, samples, _) in cases.items() for _ in range(samples)])
+    r = make("recordings", [{"id": 2 * i + k, "program_id": i, "file_path": "x", "created_at": at(DAY + "12:30"),
+                             "watched_at": at(DAY + "12:31") if k else None} for i in cases for k in (0, 1)])
+    rows = {x.id: x for x in digest.digestions(p, r, v).collect()}
+    assert set(rows) == {i for i, (_, _, listed) in cases.items() if listed}
+    for i, row in rows.items():
+        assert row.watched_seconds == 300 * cases[i][1] and len(row.viewed_times) == cases[i][1]
 
 
 def test_digestions(tables):

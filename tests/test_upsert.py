@@ -58,23 +58,21 @@ def check(spark, make, programs: list[dict], arrivals: list[tuple]):
 ROW = program(1, DAY + "12:00", 1800, event_id=11, created_at=at(DAY + "12:01"))
 
 
-@pytest.mark.parametrize("stored,start,seconds,viewed", [
-    (False, "12:00", 1800, "12:05"), (True, "12:00", 1860, "12:05"), (True, "12:00", 1740, "12:05"),
-    (True, "12:00", 1860, "12:00"), (True, "11:50", 1800, "12:05"), (True, "12:10", 1800, "12:05"), (True, "12:00", 1800, "12:05"),
-])
-def test_single_arrival(spark, make, stored, start, seconds, viewed):
-    check(spark, make, [ROW] if stored else [], [arrival(1, at(DAY + start), seconds, at(DAY + viewed))])
-
-
-def test_reach_is_inclusive(spark, make):
-    base = at(DAY + "00:00")
-    check(spark, make, [], [arrival(1, base), arrival(2, base + REACH)])
-    check(spark, make, [], [arrival(1, base), arrival(2, base + REACH + timedelta(seconds=1))])
-
-
-def test_row_that_moved_away(spark, make):
+def test_single_arrivals(spark, make):
+    """Each case under a key of its own."""
+    cases = [(False, "12:00", 1800, "12:05"), (True, "12:00", 1860, "12:05"), (True, "12:00", 1740, "12:05"),
+             (True, "12:00", 1860, "12:00"), (True, "11:50", 1800, "12:05"), (True, "12:10", 1800, "12:05"),
+             (True, "12:00", 1800, "12:05")]
+    stored = [dict(ROW, id=i, event_id=i) for i, case in enumerate(cases) if case[0]]
+    arrivals = [arrival(i, at(DAY + start), seconds, at(DAY + viewed), event_id=i)
+                for i, (_, start, seconds, viewed) in enumerate(cases)]
     base = at(DAY + "00:00")
-    check(spark, make, [], [arrival(i, base + timedelta(hours=h)) for i, h in enumerate([0, 10, 20, 0])])
+    # Twelve hours apart is one program, a second more is two.
+    arrivals += [arrival(20, base, event_id=20), arrival(21, base + REACH, event_id=20)]
+    arrivals += [arrival(22, base, event_id=22), arrival(23, base + REACH + timedelta(seconds=1), event_id=22)]
+    # The last one no longer finds the first program, which has moved on.
+    arrivals += [arrival(30 + i, base + timedelta(hours=h), event_id=30) for i, h in enumerate([0, 10, 20, 0])]
+    check(spark, make, stored, arrivals)
 
 
 @pytest.mark.parametrize("seed", range(6))
