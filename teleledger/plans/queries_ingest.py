@@ -175,7 +175,7 @@ FROM programs p LEFT JOIN nation n ON n.n_nationkey = p.id % 40""", "programs")
 def recording_arrivals(s: Source) -> DataFrame:
     """Every line item is a recording of its order's program; some paths are malformed."""
     line = s.read("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.min("l_partkey").alias("part"), F.min("l_returnflag").alias("flag"), F.min("l_shipdate").alias("at"))
+        F.min("l_partkey").alias("part"), F.char(F.min(F.ascii("l_returnflag"))).alias("flag"), F.min("l_shipdate").alias("at"))
     rows = line.join(s.programs.drop("created_at"), F.col("l_orderkey") == F.col("id"))
     program = F.struct("event_id", "service_id", "name", "start_time", "duration", "text", "ext_text", "genre")
     path = F.concat(F.when(F.col("flag") == "R", "/").otherwise("//"), F.lit("nas/rec/"), F.col("part").cast("string"))

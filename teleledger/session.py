@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +19,24 @@ RUNTIME = {
 }
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application; its Python functions run there."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).parent
+    archive = shutil.make_archive(
+        str(Path(tempfile.mkdtemp(prefix=f"{package.name}-")) / package.name), "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def tune(spark: SparkSession) -> SparkSession:
+    """Make a session ready for the operators: settings, and the package on the executors."""
+    ship(spark)
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
     return spark
