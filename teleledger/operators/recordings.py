@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from teleledger.functions import paths
 from teleledger.operators.scan import last_before
+from teleledger.session import cut
 
 _COLUMNS = ["id", "program_id", "file_path", "file_size", "watched_at", "deleted_at", "created_at"]
 
@@ -106,5 +107,6 @@ def apply_patches(recordings: DataFrame, judged: DataFrame) -> DataFrame:
 
 def patch_recordings(recordings: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New recordings, and every patch with its outcome."""
-    judged = judge_patches(recordings, patches)
+    # Both results, and the commands, follow from this; it is worked out once.
+    judged = cut(judge_patches(recordings, patches))
     return apply_patches(recordings, judged), judged

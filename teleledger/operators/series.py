@@ -256,7 +256,8 @@ class Assigned:
 def assign_series(programs: DataFrame, series: DataFrame, links: DataFrame, rows: DataFrame,
                   overrides: DataFrame | None = None) -> Assigned:
     """Title, get-or-create and link for every row of ``program_id, name, created_at, seq``."""
-    titled = rows.join(titles_of(rows, overrides), "name")
+    # One row per distinct name; written, so that Python runs once for all three results.
+    titled = rows.join(cut(titles_of(rows, overrides)), "name")
     wanted = titled.select(F.col("title").alias("name"), "created_at", "seq")
     after, by_name = get_or_create(series, wanted)
     assigned = titled.join(by_name.withColumnRenamed("name", "title"), "title").select(

@@ -62,9 +62,11 @@ def local_session(cores: str = "*", app: str = "teleledger", **extra: str) -> Sp
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="teleledger-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
