@@ -20,7 +20,7 @@ _ALL = {
 
 def _bind(build: Callable[[Source], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return build(Source(tune(spark), sf_dir))
+        return build(Source(tune(spark), str(sf_dir)))
 
     run.__doc__ = build.__doc__
     return run
