@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import shutil
+import sys
 import tempfile
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings only: safe on a session somebody else built.
@@ -31,6 +33,8 @@ def ship(spark: SparkSession) -> None:
     archive = shutil.make_archive(
         str(Path(tempfile.mkdtemp(prefix=f"{package.name}-")) / package.name), "zip", package.parent, package.name)
     context.addPyFile(archive)
+    # The worker that plans a stateful stream starts without added files: its processor travels by value.
+    cloudpickle.register_pickle_by_value(sys.modules[package.name])
     _shipped.add(context.applicationId)
 
 
