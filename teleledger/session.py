@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
 import shutil
-import sys
 import tempfile
 from pathlib import Path
 
@@ -22,6 +22,8 @@ RUNTIME = {
 
 
 _shipped: set[str] = set()
+#: What a stateful stream's processor is made of; all else is imported where it runs.
+_BY_VALUE = ("functions", "streaming", "operators", "schema")
 
 
 def ship(spark: SparkSession) -> None:
@@ -34,7 +36,8 @@ def ship(spark: SparkSession) -> None:
         str(Path(tempfile.mkdtemp(prefix=f"{package.name}-")) / package.name), "zip", package.parent, package.name)
     context.addPyFile(archive)
     # The worker that plans a stateful stream starts without added files: its processor travels by value.
-    cloudpickle.register_pickle_by_value(sys.modules[package.name])
+    for part in _BY_VALUE:
+        cloudpickle.register_pickle_by_value(importlib.import_module(f"{package.name}.{part}"))
     _shipped.add(context.applicationId)
 
 
