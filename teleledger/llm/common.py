@@ -42,6 +42,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write once, read many times: cuts the lineage and survives the loss of executors."""
     path = run_folder(df.sparkSession, name)
     df.write.parquet(path)
+    # Shuffle files go when the driver has collected what refers to them; by itself it seldom does.
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

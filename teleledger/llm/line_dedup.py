@@ -30,25 +30,29 @@ _OUT = ("n_lines", "n_removed")
 _LOWEST = -(2**63)
 
 
-def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]", "0"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+def normal(text: Column) -> Column:
+    """Line breaks stay."""
+    plain = F.regexp_replace(F.lower(text), "[0-9]", "0")
+    return F.regexp_replace(plain, r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", " ")
 
 
-def _counters(hashes: Column) -> Column:
-    """How many hashes have each bit: 16 numbers of four counters; number k has the bits k, k + 16, k + 32 and k + 48."""
-    lane = 0x0001000100010001
-    zero = F.struct(*[F.lit(0).cast("long").alias(f"c{k}") for k in range(16)])
-    return F.aggregate(hashes, zero, lambda a, h: F.struct(*[
-        (a[f"c{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(lane))).alias(f"c{k}") for k in range(16)]))
+def _counters(hashes: str, lanes: int) -> Column:
+    """How many hashes have each bit: ``lanes`` counters share a number; the counter of bit b is in number b mod (64 / lanes)."""
+    numbers = width = 64 // lanes
+    lane = sum(1 << (width * j) for j in range(lanes))
 
+    def counter(k: int) -> Column:
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(lane)))
 
-def _majority(counters: Column, n: Column) -> Column:
-    """The fingerprint from the counters of ``n`` hashes."""
-    bits = [F.when(2 * F.shiftrightunsigned(counters[f"c{b % 16}"], 16 * (b // 16)).bitwiseAND(F.lit(0xFFFF)) > n,
-                   F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long")) for b in range(64)]
-    out = bits[0]
-    for bit in bits[1:]:
-        out = out.bitwiseOR(bit)
+    return F.array(*[counter(k) for k in range(numbers)])
+
+
+def _bits(counts: Column, n: Column, lanes: int) -> Column:
+    numbers = width = 64 // lanes
+    out = F.lit(0).cast("long")
+    for b in range(64):
+        count = F.shiftrightunsigned(F.get(counts, F.lit(b % numbers)), width * (b // numbers)).bitwiseAND(F.lit((1 << width) - 1))
+        out = out.bitwiseOR(F.when(2 * count > n, F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long")))
     return out
 
 
@@ -59,42 +63,49 @@ def _document(docs: DataFrame) -> tuple[Column, Column]:
 def lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """d, t (document), place, line (normalised), h1, h2 (its hash) of each judged line."""
     d, t = _document(docs)
-    split = docs.filter(F.col("text").isNotNull()).select(d.alias("d"), t.alias("t"), F.posexplode(F.split("text", "\n")).alias("place", "raw"))
-    made = split.select("d", "t", "place", normal(F.col("raw")).alias("line"))
-    enough = F.length("line") - F.length(F.translate("line", " ", "")) >= least - 1
-    return made.filter(enough).select("d", "t", "place", "line", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
-
-
-def _occurrences(docs: DataFrame, least: int) -> DataFrame:
+    split = docs.filter(F.col("text").isNotNull()).select(
+        d.alias("d"), t.alias("t"), F.posexplode(F.split(normal(F.col("text")), "\n")).alias("place", "padded"))
+    enough = split.filter(F.col("padded").rlike("^ ?(?:[^ ]+ ){%d}[^ ]" % (least - 1)))
+    return enough.select("d", "t", "place", F.trim("padded").alias("line")).select(
+        "*", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
+
+
+def marked(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """h1, h2, d, t, place, fp of each judged line: all that later steps need but for the lines' text.
+
+    Counters have eight bits (the top one must not overflow) in lines of at most 127 words and sixteen in longer ones; a line of over 32,767 words is counted by
+    its distinct words.
+    """
+    words = F.split("line", " ")
+    hashed = lines(docs, least).select("h1", "h2", "d", "t", "place", words.alias("words")).select(
+        "h1", "h2", "d", "t", "place", F.transform(F.when(
+            F.size("words") > 32_767, F.array_distinct("words")).otherwise(F.col("words")), lambda w: F.xxhash64(w)).alias("hashes"))
+    counted = hashed.select("h1", "h2", "d", "t", "place", F.size("hashes").alias("n"), F.when(
+        F.size("hashes") <= 127, _counters("hashes", 8)).otherwise(_counters("hashes", 4)).alias("c"))
+    fp = F.when(F.col("n") <= 127, _bits(F.col("c"), F.col("n"), 8)).otherwise(_bits(F.col("c"), F.col("n"), 4))
+    return counted.select("h1", "h2", "d", "t", "place", fp.alias("fp"))
+
+
+def _occurrences(made: DataFrame) -> DataFrame:
     """h1, h2, d0, t0, p0 (the first occurrence) and n of each distinct line."""
-    made = lines(docs, least).select("h1", "h2", "d", "t", "place")
     each = made.groupBy("h1", "h2", "d", "t").agg(F.min("place").alias("p"), F.count("*").alias("n"))
     return each.groupBy("h1", "h2").agg(
         F.min("d").alias("d0"), F.min_by("t", "d").alias("t0"), F.min_by("p", "d").alias("p0"), F.sum("n").alias("n"))
 
 
-def _nodes(docs: DataFrame, least: int) -> DataFrame:
-    """h1, fp of each distinct line. A line of over 65,535 words is counted by its distinct ones."""
-    made = lines(docs, least).select("h1", F.split("line", " ").alias("words"))
-    counted = made.select("h1", F.size("words").alias("n"), _counters(F.transform(
-        F.when(F.size("words") > 65_535, F.array_distinct("words")).otherwise(F.col("words")), lambda w: F.xxhash64(w))).alias("c"))
-    return counted.select("h1", _majority(F.col("c"), F.least("n", F.lit(65_535))).alias("fp")).distinct()
-
-
 def _keyed(nodes: DataFrame, limit: int = LIMIT, blocks: int = BLOCKS) -> DataFrame:
-    """Every node under each of its keys: which blocks, and their bits."""
+    """h1 and fp of every node under each of its keys: which blocks, and their bits, as one hash."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     keys = []
     for k, chosen in enumerate(combinations(range(blocks), blocks - limit)):
         mask = sum(((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in chosen)
         mask = mask - (1 << 64) if mask >= 1 << 63 else mask
-        keys.append(F.struct(F.lit(k).alias("way"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bits")))
-    return nodes.select(*nodes.columns, F.explode(F.array(*keys)).alias("key")).select(*nodes.columns, "key.way", "key.bits")
+        keys.append(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(mask))))
+    return nodes.select("h1", "fp", F.explode(F.array(*keys)).alias("key"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Pairs a, b whose lines are similar enough."""
-    texts = texts.select("h1", "line")
     both = (pairs.join(texts.withColumnsRenamed({"h1": "a", "line": "line_a"}), "a")
             .join(texts.withColumnsRenamed({"h1": "b", "line": "line_b"}), "b"))
     longest = F.greatest(F.length("line_a"), F.length("line_b"))
@@ -103,41 +114,40 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.filter(near & (F.levenshtein("line_a", "line_b") <= room)).select("a", "b")
 
 
-def _texts(docs: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
-    """The lines that occur in ``pairs``, once each."""
-    wanted = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct()
-    found = lines(docs, least).select("h1", "line").join(wanted, "h1", "left_semi")
-    return common.stored(found.groupBy("h1").agg(F.first("line").alias("line")), "line-texts")
-
-
 def links(docs: DataFrame, nodes: DataFrame, least: int, similarity: float, limit: int = LIMIT) -> DataFrame:
     """node, root over all nodes that are linked to another, roots included."""
-    apart = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= limit
     keyed = _keyed(nodes, limit)
     # Round one: each node with the least of its key.
-    lead = keyed.groupBy("way", "bits").agg(F.min("h1").alias("a"), F.min_by("fp", "h1").alias("fp_a"), F.count("*").alias("n")).filter("n > 1")
-    lead = common.stored(lead.select("way", "bits", "a", "fp_a"), "line-keys")
-    shared = common.stored(keyed.join(lead, ["way", "bits"]), "line-shared")
-    pairs = common.stored(shared.filter((F.col("h1") != F.col("a")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_a"))) <= limit))
-                          .select("a", F.col("h1").alias("b")).distinct(), "line-pairs")
-    first = common.stored(_verified(pairs, _texts(docs, pairs, least), similarity), "line-links")
-    roots = common.stored(common.components(first), "line-roots")
+    lead = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    lead = common.stored(lead.select("key", "a"), "line-keys")
+    shared = common.stored(keyed.join(lead, "key"), "line-shared")
+    fps = nodes.withColumnsRenamed({"h1": "a", "fp": "fp_a"})
+    pairs = shared.filter(F.col("h1") != F.col("a")).select("a", F.col("h1").alias("b"), F.col("fp").alias("fp_b")).distinct()
+    pairs = pairs.join(fps, "a").filter(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= limit)
+    pairs = common.stored(pairs.select("a", "b"), "line-pairs")
+    wanted = shared.select("h1").distinct()
+    texts = lines(docs, least).select("h1", "line").join(wanted, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line"))
+    texts = common.stored(texts, "line-texts")
+    first = common.stored(_verified(pairs, texts, similarity), "line-links")
+    roots = common.components(first)
     # Round two: the pairs of a key that are not connected yet.
-    named = shared.select("way", "bits", "h1", "fp").join(roots.withColumnRenamed("node", "h1"), "h1", "left").select(
-        "way", "bits", "h1", "fp", F.coalesce("root", "h1").alias("root"))
-    side = lambda x: named.select("way", "bits", *[F.col(c).alias(f"{c}_{x}") for c in ("h1", "fp", "root")])
-    rest = side("a").join(side("b"), ["way", "bits"]).filter((F.col("h1_a") < F.col("h1_b")) & (F.col("root_a") != F.col("root_b")) & apart)
+    named = shared.select("key", "h1", "fp").join(roots.withColumnRenamed("node", "h1"), "h1", "left").select(
+        "key", "h1", "fp", F.coalesce("root", "h1").alias("root"))
+    side = lambda x: named.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("h1", "fp", "root")])
+    rest = side("a").join(side("b"), "key").filter(
+        (F.col("h1_a") < F.col("h1_b")) & (F.col("root_a") != F.col("root_b"))
+        & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= limit))
     rest = common.stored(rest.select(F.col("h1_a").alias("a"), F.col("h1_b").alias("b")).distinct(), "line-pairs")
-    second = _verified(rest, _texts(docs, rest, least), similarity)
-    found = common.components(first.union(second))
+    found = common.components(first.union(_verified(rest, texts, similarity)))
     return found.union(found.select(F.col("root").alias("node"), "root").distinct())
 
 
 def dedup(docs: DataFrame, least: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the lines that are not the first of their group, with n_lines and n_removed."""
     docs = common.without(docs, *_OUT)
-    nodes = common.stored(_nodes(docs, least), "line-nodes")
-    seen = _occurrences(docs, least)
+    made = common.stored(marked(docs, least), "lines")
+    nodes = common.stored(made.groupBy("h1").agg(F.min("fp").alias("fp")), "line-nodes")
+    seen = _occurrences(made)
     roots = common.stored(links(docs, nodes, least, similarity), "line-groups")
     # Only lines that occur again or have a group can go.
     grouped = seen.join(roots.withColumnRenamed("node", "h1"), "h1", "left").filter("n > 1 or root is not null").select(
@@ -151,8 +161,8 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS, similarity: float = SIMILARIT
     first = grouped.join(at_best, (F.col("g1") == F.col("x1")) & F.col("g2").eqNullSafe(F.col("x2"))).select(
         "h1", "h2", "xd", "xp", F.when((F.col("d0") == F.col("xd")) & (F.col("p0") == F.col("xp")), F.col("t0")).alias("xt"))
     first = common.stored(first, "line-first")
-    made = lines(docs, least).select("h1", "h2", "d", "t", "place").join(first, ["h1", "h2"])
-    gone = made.filter(~((F.col("d") == F.col("xd")) & (F.col("place") == F.col("xp")) & F.coalesce(F.col("t") == F.col("xt"), F.lit(False))))
+    again = made.select("h1", "h2", "d", "t", "place").join(first, ["h1", "h2"])
+    gone = again.filter(~((F.col("d") == F.col("xd")) & (F.col("place") == F.col("xp")) & F.coalesce(F.col("t") == F.col("xt"), F.lit(False))))
     gone = gone.groupBy("d", "t").agg(F.collect_set("place").alias("_gone")).withColumnsRenamed({"d": "_d", "t": "_t"})
     d, t = _document(docs)
     joined = docs.withColumn("_d", d).withColumn("_t", t).join(gone, ["_d", "_t"], "left")
