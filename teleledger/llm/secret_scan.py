@@ -5,7 +5,8 @@ is a candidate. Two first-order Markov models, one of random strings and one of
 log-likelihood ratio of its character pairs. Candidates above ``THRESHOLD`` that meet no base span are spans of kind ``random``.
 
 The models learn from labelled samples: the strings that patterns found in the corpus are random, and words of at least
-``WORD_LEAST`` characters in a sample of about ``SAMPLE`` documents (by a hash of the text) are identifiers; one added to every count.
+``WORD_LEAST`` characters in a sample of about ``SAMPLE`` documents (by a hash of the text) that could be no candidates themselves
+are identifiers.
 A null text is empty. Equal rows get equal results, without any document there are none. Only DataFrame functions are used.
 
 Places are found by matching the gap before a match together with it, each match starting where the last one ended.
@@ -28,6 +29,8 @@ _HEX = r"[0-9a-f]{24,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LEAST, WORD_LEAST = 20, 8
 THRESHOLD = 0.75
+#: Pairs that the frequency of the second character alone stands for.
+BACKOFF = 20.0
 SAMPLE = 4_000
 _RUN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}"
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint,text:string>>"
@@ -76,14 +79,21 @@ def learn(spans: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> list[float
     random = spans.select(F.explode("base").alias("x")).select(F.regexp_replace("x.text", r"[^A-Za-z0-9+/_=-]+", "").alias("s"))
     some = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1).cast("long"), F.lit(max(1, docs.count() // sample)))) == 0
     words = docs.filter(some).select(F.explode(F.regexp_extract_all("text", F.lit(rf"[A-Za-z_][A-Za-z0-9_-]{{{WORD_LEAST - 1},}}"), 0)).alias("s"))
+    words = words.filter((F.length("s") < LEAST) | ~F.col("s").rlike("[0-9]"))
     # At most the square of the alphabet in rows.
     counts = [{r.pair: r.n for r in _pairs(x).collect()} for x in (random, words)]
-    ratios: list[float] = []
+    tables = [_model(c) for c in counts]
+    return [math.log(x / y) for x, y in zip(*tables)]
+
+
+def _model(counts: dict[str, int]) -> list[float]:
+    """Probability of each character after each; rare pairs lean on how common the second is, and that on all being alike."""
+    alone = {b: 1 + sum(counts.get(a + b, 0) for a in ALPHABET) for b in ALPHABET}
+    total, out = sum(alone.values()), []
     for a in ALPHABET:
-        totals = [sum(c.get(a + b, 0) for b in ALPHABET) + len(ALPHABET) for c in counts]
-        ratios += [math.log((counts[0].get(a + b, 0) + 1) / totals[0]) - math.log((counts[1].get(a + b, 0) + 1) / totals[1])
-                   for b in ALPHABET]
-    return ratios
+        seen = sum(counts.get(a + b, 0) for b in ALPHABET)
+        out += [(counts.get(a + b, 0) + BACKOFF * alone[b] / total) / (seen + BACKOFF) for b in ALPHABET]
+    return out
 
 
 def score(string: Column, ratios: list[float]) -> Column:
