@@ -111,10 +111,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     longest = F.greatest(F.length("line_a"), F.length("line_b"))
     room = F.floor(longest * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
     near = F.abs(F.length("line_a") - F.length("line_b")) <= room
-    return both.filter(near & (F.levenshtein("line_a", "line_b") <= room)).select("a", "b")
+    # With a bound only the band around the diagonal is worked out; beyond the bound the result is -1.
+    return both.withColumn("room", room).filter(near & F.expr("levenshtein(line_a, line_b, room) >= 0")).select("a", "b")
 
 
-def links(docs: DataFrame, nodes: DataFrame, least: int, similarity: float, limit: int = LIMIT) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, seen: DataFrame, least: int, similarity: float, limit: int = LIMIT) -> DataFrame:
     """node, root over all nodes that are linked to another, roots included."""
     keyed = _keyed(nodes, limit)
     # Round one: each node with the least of its key.
@@ -125,8 +126,10 @@ def links(docs: DataFrame, nodes: DataFrame, least: int, similarity: float, limi
     pairs = shared.filter(F.col("h1") != F.col("a")).select("a", F.col("h1").alias("b"), F.col("fp").alias("fp_b")).distinct()
     pairs = pairs.join(fps, "a").filter(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= limit)
     pairs = common.stored(pairs.select("a", "b"), "line-pairs")
-    wanted = shared.select("h1").distinct()
-    texts = lines(docs, least).select("h1", "line").join(wanted, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line"))
+    # Each text from one occurrence, so that a very common line is not gathered.
+    wanted = seen.join(shared.select("h1").distinct(), "h1", "left_semi").select(
+        "h1", F.col("d0").alias("d"), F.col("t0").alias("t"), F.col("p0").alias("place"))
+    texts = lines(docs, least).join(wanted, ["h1", "d", "t", "place"]).select("h1", "line").distinct()
     texts = common.stored(texts, "line-texts")
     first = common.stored(_verified(pairs, texts, similarity), "line-links")
     roots = common.components(first)
@@ -147,8 +150,8 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS, similarity: float = SIMILARIT
     docs = common.without(docs, *_OUT)
     made = common.stored(marked(docs, least), "lines")
     nodes = common.stored(made.groupBy("h1").agg(F.min("fp").alias("fp")), "line-nodes")
-    seen = _occurrences(made)
-    roots = common.stored(links(docs, nodes, least, similarity), "line-groups")
+    seen = common.stored(_occurrences(made), "line-first")
+    roots = common.stored(links(docs, nodes, seen, least, similarity), "line-groups")
     # Only lines that occur again or have a group can go.
     grouped = seen.join(roots.withColumnRenamed("node", "h1"), "h1", "left").filter("n > 1 or root is not null").select(
         "h1", "h2", F.coalesce("root", "h1").alias("g1"), F.when(F.col("root").isNull(), F.col("h2")).alias("g2"), "d0", "t0", "p0")
