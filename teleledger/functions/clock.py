@@ -31,10 +31,18 @@ def moment(value: str | datetime, wall_clock: bool, plus: timedelta = timedelta(
 
 
 def to_instant(text: Column) -> Column:
-    """Text to instant: an explicit offset is kept, text without one is Japan time; bad text is null."""
-    has_zone = text.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$")
-    return F.when(has_zone, text.try_cast("timestamp")).otherwise(
-        F.concat(text, F.lit("+09:00")).try_cast("timestamp"))
+    """Text to instant: an explicit offset (``Z``, ``+09:00``, ``+0900``, ``+09``) is kept, text without one is Japan time.
+
+    A bare date is midnight in Japan; bad text is null.
+    """
+    full = F.regexp_replace(text, r"([T ].*[+-]\d{2})(\d{2})?$", "$1:$2")
+    full = F.when(full.endswith(":"), F.concat(full, F.lit("00"))).otherwise(full)
+    zoned = text.rlike(r"[T ].*(?:Z|[+-]\d{2}(?::?\d{2})?)$")
+    colon = text.rlike(r"(?:Z|[+-]\d{2}:\d{2})$")
+    bare = text.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    return (F.when(bare, F.concat(text, F.lit("T00:00:00+09:00")).try_cast("timestamp"))
+            .when(zoned & colon, text.try_cast("timestamp")).when(zoned, full.try_cast("timestamp"))
+            .otherwise(F.concat(text, F.lit("+09:00")).try_cast("timestamp")))
 
 
 def end_time(start: Column | str = "start_time", seconds: Column | str = "duration") -> Column:

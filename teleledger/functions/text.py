@@ -62,9 +62,14 @@ def heading_map(ext_text: Column) -> Column:
 
 
 def title_from_reply(reply: Column) -> Column:
-    """Series title out of a stored model reply: code fences off, first ``{…}``, its ``title``."""
-    bare = F.trim(F.regexp_replace(F.trim(reply), r"(?m)^```(?:json)?\n?|```$", ""))
-    body = F.when(bare.startswith("{"), bare).otherwise(F.regexp_extract(bare, r"(?s)\{.*\}", 0))
+    """Series title out of a stored model reply: code fences off, first ``{…}``, its ``title``.
+
+    A reply that starts with ``{`` must end with ``}``: what follows the object makes it invalid.
+    """
+    blanks = F.lit(" \t\r\n")
+    # Fixed pattern: the fences of a reply.
+    bare = F.trim(F.regexp_replace(F.trim(reply, blanks), r"(?m)^```(?:json)?\n?|```$", ""), blanks)
+    body = F.when(bare.startswith("{"), F.when(bare.endswith("}"), bare)).otherwise(F.regexp_extract(bare, r"(?s)\{.*\}", 0))
     return F.nullif(F.get_json_object(body, "$.title"), F.lit(""))
 
 

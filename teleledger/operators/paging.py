@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from teleledger.session import cut
+
 # Key sets up to this many rows are sent to every task; larger ones are shuffled.
 BROADCAST_ROWS = 100_000
 
@@ -38,7 +39,9 @@ def _deep_page(df: DataFrame, order: list[Column], offset: int, size: int, by: s
     spans = counts.withColumn("_end", F.sum("_n").over(upto)).withColumn("_start", F.col("_end") - F.col("_n"))
     hit = spans.filter((F.col("_end") > offset) & (F.col("_start") < offset + size)).select("_minute", "_start")
     # Every minute hit holds a row of the page, so there are at most ``size`` of them.
-    near = dated.join(F.broadcast(hit) if size <= BROADCAST_ROWS else hit, "_minute")
+    # Rows without a time are a minute of their own.
+    hit = hit.withColumnRenamed("_minute", "_hit")
+    near = dated.join(F.broadcast(hit) if size <= BROADCAST_ROWS else hit, F.col("_minute").eqNullSafe(F.col("_hit")))
     place = F.col("_start") + F.row_number().over(Window.partitionBy("_minute").orderBy(*order))
     ranked = near.withColumn("_place", place).filter(
         (F.col("_place") > offset) & (F.col("_place") <= offset + size))
@@ -46,8 +49,8 @@ def _deep_page(df: DataFrame, order: list[Column], offset: int, size: int, by: s
 
 
 def kept(page: DataFrame) -> DataFrame:
-    """Hold a page that several joins read, so its search runs once; rebuilt if an executor is lost."""
-    return page.persist(StorageLevel.MEMORY_AND_DISK)
+    """Write a page that several joins read, so its search runs once. Every search is answered anew, and nothing stays cached."""
+    return cut(page)
 
 
 def only_keys(rows: DataFrame, keys: DataFrame, on: str, bound: int | None = None) -> DataFrame:

@@ -296,8 +296,9 @@ def patch_genre(programs: DataFrame, patches: DataFrame) -> DataFrame:
 
 
 def label_genres(programs: DataFrame, codes: DataFrame) -> DataFrame:
-    """Replace genre codes by the labels of a caller's ``code, label`` table where it has them."""
-    labels = codes.select(F.col("code").cast("string").alias("genre"), "label").dropDuplicates(["genre"])
+    """Replace genre codes by the labels of a caller's ``code, label`` table where it has them; the least of several."""
+    labels = codes.select(F.col("code").cast("string").alias("genre"), "label").groupBy("genre").agg(
+        F.min("label").alias("label"))
     return programs.join(labels, "genre", "left").withColumn("genre", F.coalesce("label", "genre")).select(
         *programs.columns)
 

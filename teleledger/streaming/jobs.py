@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from teleledger.functions import clock
 from teleledger.operators import commands, ingest, recordings
 from teleledger.sources import tables
 from teleledger.streaming.player import SAMPLE_TRIGGER
@@ -22,11 +23,12 @@ def _start(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint
 def append_views(views: DataFrame, path: str, checkpoint: str, once: bool = False,
                  replay_window: str | None = None) -> StreamingQuery:
     """Append view rows to Parquet, exactly once. Equal rows are kept, as they are samples, unless
-    ``replay_window`` asks to drop repeats of a program and time within it."""
+    ``replay_window`` asks to drop repeats of a program and time within it; rows later than that are then dropped too.
+    The day is Japan's, as the readers prune by it."""
     if replay_window:
         views = views.withWatermark("viewed_time", replay_window).dropDuplicatesWithinWatermark(
             ["program_id", "viewed_time"])
-    dated = views.withColumn("day", F.to_date("viewed_time"))
+    dated = views.withColumn("day", clock.jst_date(F.col("viewed_time"), clock.is_wall_clock(views, "viewed_time")))
     writer = dated.writeStream.format("parquet").outputMode("append").partitionBy("day").option(
         "path", path).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=SAMPLE_TRIGGER)).start()

@@ -135,3 +135,26 @@ def test_listing_times(spark):
     row = spark.sql("SELECT TIMESTAMP_NTZ'2025-05-12 12:00:05' AS s, TIMESTAMP_NTZ'2025-05-12 12:30:00' AS e").select(
         clock.listing_time(F.col("s"), seconds=True), clock.listing_span(F.col("s"), F.col("e"))).first()
     assert tuple(row) == ("2025/05/12(Mon) 12:00:05", "2025/05/12(Mon) 12:00-12:30")
+
+
+def test_offsets_and_bare_dates(spark):
+    from pyspark.sql import functions as F
+
+    from teleledger.functions import clock
+
+    noon = "2025-05-12T12:00:00"
+    texts = [f"{noon}+0900", f"{noon}+09", f"{noon}+09:00", noon, "2025-05-12T03:00:00Z", "2025-05-12", "2025-05-12 12:00:00-0330", "x", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(
+        F.unix_seconds(clock.to_instant(F.col("t")))).collect()]
+    at = 1747018800
+    assert got == [at, at, at, at, at, at - 43200, 1747063800, None, None]
+
+
+def test_reply_with_a_tail_is_invalid(spark):
+    from pyspark.sql import functions as F
+
+    from teleledger.functions import text
+
+    replies = ['{"title":"a"} ok?', '{"title":"a"}', 'Sure: {"title":"b"} done']
+    got = spark.createDataFrame([(r,) for r in replies], "r string").select(text.title_from_reply(F.col("r"))).collect()
+    assert [r[0] for r in got] == [None, "a", "b"]
