@@ -36,23 +36,13 @@ def normal(text: Column) -> Column:
     return F.regexp_replace(plain, r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", " ")
 
 
-def _counters(hashes: str, lanes: int) -> Column:
-    """How many hashes have each bit: ``lanes`` counters share a number; the counter of bit b is in number b mod (64 / lanes)."""
-    numbers = width = 64 // lanes
-    lane = sum(1 << (width * j) for j in range(lanes))
-
-    def counter(k: int) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(lane)))
-
-    return F.array(*[counter(k) for k in range(numbers)])
-
-
-def _bits(counts: Column, n: Column, lanes: int) -> Column:
-    numbers = width = 64 // lanes
-    out = F.lit(0).cast("long")
-    for b in range(64):
-        count = F.shiftrightunsigned(F.get(counts, F.lit(b % numbers)), width * (b // numbers)).bitwiseAND(F.lit((1 << width) - 1))
-        out = out.bitwiseOR(F.when(2 * count > n, F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0).cast("long")))
+def _fingerprint(counts: list[Column], n: Column) -> Column:
+    """A bit is set if it is in over half of ``n`` hashes; ``counts[k]`` holds the counts of bits k (low half) and k + 32."""
+    zero, out = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for k, count in enumerate(counts):
+        high = 1 << (k + 32) if k < 31 else _LOWEST
+        out = out.bitwiseOR(F.when(2 * count.bitwiseAND(F.lit(0xFFFFFFFF)) > n, F.lit(1 << k).cast("long")).otherwise(zero))
+        out = out.bitwiseOR(F.when(2 * F.shiftrightunsigned(count, 32) > n, F.lit(high)).otherwise(zero))
     return out
 
 
@@ -60,37 +50,38 @@ def _document(docs: DataFrame) -> tuple[Column, Column]:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)), F.xxhash64("text")
 
 
-def lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """d, t (document), place, line (normalised), h1, h2 (its hash) of each judged line."""
+def lines(docs: DataFrame, least: int = MIN_WORDS, *more: str) -> DataFrame:
+    """d, t (document), place, line (normalised), h1, h2 (its hash) of each judged line, and further columns of ``docs``."""
     d, t = _document(docs)
     split = docs.filter(F.col("text").isNotNull()).select(
-        d.alias("d"), t.alias("t"), F.posexplode(F.split(normal(F.col("text")), "\n")).alias("place", "padded"))
+        *more, d.alias("d"), t.alias("t"), F.posexplode(F.split(normal(F.col("text")), "\n")).alias("place", "padded"))
     enough = split.filter(F.col("padded").rlike("^ ?(?:[^ ]+ ){%d}[^ ]" % (least - 1)))
-    return enough.select("d", "t", "place", F.trim("padded").alias("line")).select(
+    return enough.select(*more, "d", "t", "place", F.trim("padded").alias("line")).select(
         "*", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
 
 
 def marked(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """h1, h2, d, t, place, fp of each judged line: all that later steps need but for the lines' text.
 
-    Counters have eight bits (the top one must not overflow) in lines of at most 127 words and sixteen in longer ones; a line of over 32,767 words is counted by
-    its distinct words.
+    The words are counted as rows, so that hashing and counting stay in generated code; two counts share a number. Rows that repeat
+    a document are kept apart by a row number.
     """
-    words = F.split("line", " ")
-    hashed = lines(docs, least).select("h1", "h2", "d", "t", "place", words.alias("words")).select(
-        "h1", "h2", "d", "t", "place", F.transform(F.when(
-            F.size("words") > 32_767, F.array_distinct("words")).otherwise(F.col("words")), lambda w: F.xxhash64(w)).alias("hashes"))
-    counted = hashed.select("h1", "h2", "d", "t", "place", F.size("hashes").alias("n"), F.when(
-        F.size("hashes") <= 127, _counters("hashes", 8)).otherwise(_counters("hashes", 4)).alias("c"))
-    fp = F.when(F.col("n") <= 127, _bits(F.col("c"), F.col("n"), 8)).otherwise(_bits(F.col("c"), F.col("n"), 4))
+    line = ["row", "place", "h1", "h2", "d", "t"]
+    words = lines(docs.withColumn("row", F.monotonically_increasing_id()), least, "row").select(
+        *line, F.explode(F.split("line", " ")).alias("w")).select(*line, F.xxhash64("w").alias("h"))
+    pair = F.lit(1 + (1 << 32))
+    counted = words.groupBy(*line).agg(F.count("*").alias("n"), *[
+        F.sum(F.shiftrightunsigned("h", k).bitwiseAND(pair)).alias(f"c{k}") for k in range(32)])
+    fp = _fingerprint([F.col(f"c{k}") for k in range(32)], F.col("n"))
     return counted.select("h1", "h2", "d", "t", "place", fp.alias("fp"))
 
 
 def _occurrences(made: DataFrame) -> DataFrame:
-    """h1, h2, d0, t0, p0 (the first occurrence) and n of each distinct line."""
-    each = made.groupBy("h1", "h2", "d", "t").agg(F.min("place").alias("p"), F.count("*").alias("n"))
+    """h1, h2, fp, d0, t0, p0 (the first occurrence) and n of each distinct line."""
+    each = made.groupBy("h1", "h2", "d", "t").agg(F.min("place").alias("p"), F.min("fp").alias("fp"), F.count("*").alias("n"))
     return each.groupBy("h1", "h2").agg(
-        F.min("d").alias("d0"), F.min_by("t", "d").alias("t0"), F.min_by("p", "d").alias("p0"), F.sum("n").alias("n"))
+        F.min("fp").alias("fp"), F.min("d").alias("d0"), F.min_by("t", "d").alias("t0"), F.min_by("p", "d").alias("p0"),
+        F.sum("n").alias("n"))
 
 
 def _keyed(nodes: DataFrame, limit: int = LIMIT, blocks: int = BLOCKS) -> DataFrame:
@@ -104,15 +95,32 @@ def _keyed(nodes: DataFrame, limit: int = LIMIT, blocks: int = BLOCKS) -> DataFr
     return nodes.select("h1", "fp", F.explode(F.array(*keys)).alias("key"))
 
 
+def _texts(docs: DataFrame, seen: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+    """h1 and text of the lines in ``pairs``, each from one occurrence, so that a very common line is not gathered."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
+    wanted = common.stored(seen.join(asked, "h1", "left_semi").select(
+        "h1", F.col("d0").alias("d"), F.col("t0").alias("t"), F.col("p0").alias("place")), "line-wanted")
+    d, t = _document(docs)
+    held = wanted.select(F.col("d").alias("_d"), F.col("t").alias("_t")).distinct()
+    holders = docs.withColumn("_d", d).withColumn("_t", t).join(held, ["_d", "_t"], "left_semi")
+    return lines(holders, least).join(wanted, ["h1", "d", "t", "place"]).groupBy("h1").agg(F.min("line").alias("line"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Pairs a, b whose lines are similar enough."""
+    texts = common.stored(texts, "line-texts")
     both = (pairs.join(texts.withColumnsRenamed({"h1": "a", "line": "line_a"}), "a")
             .join(texts.withColumnsRenamed({"h1": "b", "line": "line_b"}), "b"))
     longest = F.greatest(F.length("line_a"), F.length("line_b"))
     room = F.floor(longest * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
     near = F.abs(F.length("line_a") - F.length("line_b")) <= room
-    # With a bound only the band around the diagonal is worked out; beyond the bound the result is -1.
-    return both.withColumn("room", room).filter(near & F.expr("levenshtein(line_a, line_b, room) >= 0")).select("a", "b")
+    # Changing the lines word by word takes at least as many edits as the best way. Where that is few enough, the best way is not
+    # worked out; elsewhere with a bound, so that only the band around the diagonal is: beyond the bound the result is -1.
+    apart = F.zip_with(F.split("line_a", " "), F.split("line_b", " "), lambda x, y: F.when(
+        x.isNull() | y.isNull(), F.length(F.coalesce(x, y)) + 1).when(x == y, F.lit(0)).otherwise(F.levenshtein(x, y)))
+    by_word = F.aggregate(apart, F.lit(0), lambda total, x: total + x)
+    return both.withColumn("room", room).filter(near).withColumn("by_word", by_word).filter(
+        (F.col("by_word") <= F.col("room")) | F.expr("levenshtein(line_a, line_b, room) >= 0")).select("a", "b")
 
 
 def links(docs: DataFrame, nodes: DataFrame, seen: DataFrame, least: int, similarity: float, limit: int = LIMIT) -> DataFrame:
@@ -126,12 +134,7 @@ def links(docs: DataFrame, nodes: DataFrame, seen: DataFrame, least: int, simila
     pairs = shared.filter(F.col("h1") != F.col("a")).select("a", F.col("h1").alias("b"), F.col("fp").alias("fp_b")).distinct()
     pairs = pairs.join(fps, "a").filter(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= limit)
     pairs = common.stored(pairs.select("a", "b"), "line-pairs")
-    # Each text from one occurrence, so that a very common line is not gathered.
-    wanted = seen.join(shared.select("h1").distinct(), "h1", "left_semi").select(
-        "h1", F.col("d0").alias("d"), F.col("t0").alias("t"), F.col("p0").alias("place"))
-    texts = lines(docs, least).join(wanted, ["h1", "d", "t", "place"]).select("h1", "line").distinct()
-    texts = common.stored(texts, "line-texts")
-    first = common.stored(_verified(pairs, texts, similarity), "line-links")
+    first = common.stored(_verified(pairs, _texts(docs, seen, pairs, least), similarity), "line-links")
     roots = common.components(first)
     # Round two: the pairs of a key that are not connected yet.
     named = shared.select("key", "h1", "fp").join(roots.withColumnRenamed("node", "h1"), "h1", "left").select(
@@ -141,7 +144,7 @@ def links(docs: DataFrame, nodes: DataFrame, seen: DataFrame, least: int, simila
         (F.col("h1_a") < F.col("h1_b")) & (F.col("root_a") != F.col("root_b"))
         & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= limit))
     rest = common.stored(rest.select(F.col("h1_a").alias("a"), F.col("h1_b").alias("b")).distinct(), "line-pairs")
-    found = common.components(first.union(_verified(rest, texts, similarity)))
+    found = common.components(first.union(_verified(rest, _texts(docs, seen, rest, least), similarity)))
     return found.union(found.select(F.col("root").alias("node"), "root").distinct())
 
 
@@ -149,8 +152,8 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS, similarity: float = SIMILARIT
     """``docs`` without the lines that are not the first of their group, with n_lines and n_removed."""
     docs = common.without(docs, *_OUT)
     made = common.stored(marked(docs, least), "lines")
-    nodes = common.stored(made.groupBy("h1").agg(F.min("fp").alias("fp")), "line-nodes")
     seen = common.stored(_occurrences(made), "line-first")
+    nodes = seen.groupBy("h1").agg(F.min("fp").alias("fp"))
     roots = common.stored(links(docs, nodes, seen, least, similarity), "line-groups")
     # Only lines that occur again or have a group can go.
     grouped = seen.join(roots.withColumnRenamed("node", "h1"), "h1", "left").filter("n > 1 or root is not null").select(
