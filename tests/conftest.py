@@ -2,14 +2,14 @@ from __future__ import annotations
 
 import os
 import sys
-from datetime import datetime
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 
 from pyspark.sql import types as T  # noqa: E402
 
+from rows import wall  # noqa: E402
 from teleledger import schema  # noqa: E402
 from teleledger.session import local_session  # noqa: E402
 
@@ -28,20 +28,6 @@ def spark():
     session.stop()
 
 
-def wall(fields: T.StructType) -> T.StructType:
-    """The model schema with wall-clock times, all nullable, for hand-written rows."""
-    def kind(t: T.DataType) -> T.DataType:
-        if isinstance(t, T.TimestampType):
-            return T.TimestampNTZType()
-        return wall(t) if isinstance(t, T.StructType) else t
-
-    return T.StructType([T.StructField(f.name, kind(f.dataType), True) for f in fields.fields])
-
-
-def at(text: str) -> datetime:
-    return datetime.fromisoformat(text)
-
-
 @pytest.fixture(scope="session")
 def make(spark):
     """Rows of a model table from dicts; missing fields are null."""
@@ -52,10 +38,3 @@ def make(spark):
         return spark.createDataFrame([tuple(r.get(n) for n in fields.names) for r in rows], fields)
 
     return build
-
-
-def program(id: int, start: str, seconds: int = 1800, **more) -> dict:
-    begin = at(start)
-    return {"id": id, "event_id": more.pop("event_id", 10 + id), "service_id": more.pop("service_id", 101),
-            "name": more.pop("name", f"Program {id}"), "start_time": begin, "duration": seconds,
-            "created_at": more.pop("created_at", begin), **more}

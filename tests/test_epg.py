@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from conftest import at
+from rows import at
 
 from teleledger.operators import epg
 

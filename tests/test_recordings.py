@@ -5,7 +5,7 @@ import random
 import re
 from datetime import datetime, timedelta
 
-from conftest import at
+from rows import at
 from pyspark.sql import functions as F
 
 from teleledger.operators import commands, recordings, scan

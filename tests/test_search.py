@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import at, program
+from rows import at, program
 from pyspark.sql import functions as F
 
 from teleledger.operators import digest, search

@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from conftest import at, program
+from rows import at, program
 
 from teleledger.operators import series
 

@@ -4,7 +4,7 @@ import json
 import tempfile
 
 import pytest
-from conftest import at, program
+from rows import at, program
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 

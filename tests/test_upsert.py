@@ -4,7 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import at, program
+from rows import at, program
 from pyspark.sql import functions as F
 
 from teleledger.operators import ingest, upsert
