@@ -14,6 +14,7 @@ from teleledger.session import ship
 BATCH_ROWS = 256
 
 _local_roots: dict[str, str] = {}
+_kept: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,13 +39,53 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies; Spark has no call of its own for that."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """The stored tables of one operator. Leaving the block removes them, but for those that its result reads: these stay
+    until the caller has read the result and calls ``release``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failed) -> None:
+        for df in [x for x, _ in self.paths.values()]:
+            self.drop(df)
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """Write once, read many times: cuts the lineage and survives the loss of executors."""
+        path = run_folder(self.spark, name)
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(back)] = (back, path)
+        return back
+
+    def drop(self, df: DataFrame) -> None:
+        remove(self.spark, self.paths.pop(id(df))[1])
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        _kept.setdefault(self.spark.sparkContext.applicationId, []).append(self.paths.pop(id(df))[1])
+        return df
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what results of earlier calls read; call it once they have been read or written elsewhere."""
+    for path in _kept.pop(spark.sparkContext.applicationId, []):
+        remove(spark, path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write once, read many times: cuts the lineage and survives the loss of executors."""
-    path = run_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    # Shuffle files go when the driver has collected what refers to them; by itself it seldom does.
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """A stored table that stays until ``release``."""
+    scratch = Scratch(df.sparkSession)
+    return scratch.keep(scratch.stored(df, name))
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -73,7 +114,8 @@ def components(edges: DataFrame) -> DataFrame:
     Nodes without an edge to another node have no row.
     """
     least, most = F.least("a", "b"), F.greatest("a", "b")
-    edges = stored(edges.filter(F.col("a") != F.col("b")).select(most.alias("a"), least.alias("b")).distinct(), "edges")
+    scratch = Scratch(edges.sparkSession)
+    edges = scratch.stored(edges.filter(F.col("a") != F.col("b")).select(most.alias("a"), least.alias("b")).distinct(), "edges")
     seen = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -85,8 +127,9 @@ def components(edges: DataFrame) -> DataFrame:
             F.explode(F.array(
                 F.struct(F.col("a"), F.col("low").alias("b")),
                 F.struct(F.greatest("b", "low").alias("a"), F.least("b", "low").alias("b")))).alias("e"))
-        edges = stored(small.select("e.a", "e.b").filter(F.col("a") != F.col("b")).distinct(), "edges")
+        before, edges = edges, scratch.stored(small.select("e.a", "e.b").filter(F.col("a") != F.col("b")).distinct(), "edges")
+        scratch.drop(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return scratch.keep(edges).select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = now

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from teleledger.llm import (
-    decontaminate, language_id, line_dedup, packing, quality_rules, secret_scan, simhash_dedup, substring_dedup, token_files,
-    url_filters,
+    collocations, decontaminate, language_id, line_dedup, lz_fingerprint, packing, quality_rules, secret_scan, simhash_dedup,
+    substring_dedup, token_files, url_filters, whitening,
 )
 from teleledger.llm.common import table
 
@@ -65,10 +65,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language."""
+    return collocations.mine(spark, table(spark, sf_dir, "documents")).drop("first_doc_id", "first_word")
+
+
+def op12_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and of its edited text."""
+    return lz_fingerprint.report(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding on the four leading components."""
+    return whitening.report(spark, table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_url_filters, op2_packing, op3_secret_scan, op4_language_id, op5_line_dedup, op6_substring_dedup,
-        op7_token_files, op8_decontamination, op9_simhash_dedup, op10_quality_rules)
+        op7_token_files, op8_decontamination, op9_simhash_dedup, op10_quality_rules, op11_collocations, op12_lz_fingerprints,
+        op13_embedding_whitening)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_collocations": collocations.SQL}
