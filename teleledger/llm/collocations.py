@@ -9,9 +9,10 @@ runs all of whose pairs are. No phrase is more frequent than a part of it, so no
 travels as a filter of bounded size. It may let others through, more of them as data grows; they cost a shuffled row and
 are dropped for their counts. Fingerprints that collide only add up to too much, so again nothing is lost.
 
-The last pass takes the occurrences of frequent fingerprints, with the least pointer (doc_id and word) of each in a block.
-Every occurrence is compared with that one's bytes; those that differ are counted under their own text. So the counts in the
-end are of texts, summed by text, and a collision cannot change them.
+The last pass takes the occurrences of frequent fingerprints, with a pointer (doc_id and word) to one of each in a block.
+Every occurrence is compared with that one's bytes; those that differ are counted under their own text. Tasks send what they
+found packed, a row for each share of the fingerprints, and shares are summed by text. So the counts in the end are of
+texts, and a collision cannot change them. The least pointer of a phrase is where it occurs first.
 
 Null texts are empty. Rows that repeat are counted as often as they occur. A null doc_id comes first among pointers.
 An empty table gives no rows. A text of any length is read in blocks that end between pieces; only a piece without any of
@@ -40,7 +41,10 @@ FILTER_BITS, FILTER_LIMIT = 16, 1 << 28
 _BASE = 0x9E3779B97F4A7C15
 _ALL = 2**64 - 1
 _COUNTS = "fp long, f long"
-_FOUND = "lang string, size int, phrase string, f long, pointer struct<doc_id: bigint, word: bigint>"
+_FOUND = "lang string, size int, phrase string, f long, doc_id long, word long"
+_NO_DOC = -(2**63)
+#: Rows that a task sums before it sends them on; shares for each partition; shares of a language that are ranked by themselves.
+_HELD_ROWS, _SHARES, _RANKED = 1 << 20, 8, 128
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: 0: part of a word, 1: between words, 2: between pieces.
@@ -140,9 +144,17 @@ class Block:
             out[2:] = [at[filters[2].has(self.runs(n, at))] for n, at in enumerate(out[2:], 3)]
         return out
 
-    def text(self, start: int, size: int) -> str:
-        words = [self.data[a:b].tobytes() for a, b in zip(self.starts[start:start + size], self.ends[start:start + size])]
-        return b" ".join(words).decode("utf-8", "surrogatepass")
+    def texts(self, at: np.ndarray, size: int) -> pa.Array:
+        """The runs of ``size`` words from each of ``at``, their words joined by single spaces."""
+        words = at[:, None] + np.arange(size)
+        starts, sizes = self.starts[words], self.ends[words] - self.starts[words]
+        sizes[:, :-1] += 1
+        edges = np.concatenate(([0], np.cumsum(sizes.sum(axis=1))))
+        ends = np.cumsum(sizes)
+        source = np.arange(ends[-1]) + np.repeat(starts.ravel() - ends + sizes.ravel(), sizes.ravel())
+        out = self.data[source]
+        out[ends.reshape(sizes.shape)[:, :-1].ravel() - 1] = 0x20
+        return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(out)).cast(pa.string())
 
     def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether words ``a`` and ``b`` have the same bytes, eight bytes at a time."""
@@ -243,10 +255,8 @@ def _filter(found: DataFrame, bits: int, limit: int) -> Filter:
     return Filter(words)
 
 
-def _phrases(b: Block, filters: list[Filter], longest: int) -> list[tuple]:
-    """A row for each phrase of a block and language that may be frequent: verified count, and the least pointer. A row with an
-    empty phrase has the number of words of a document's language."""
-    rows: list[tuple] = []
+def _phrases(b: Block, filters: list[Filter], longest: int) -> Iterator[pa.Table]:
+    """The phrases of a block that may be frequent, with verified counts. An empty phrase has the words of a language."""
     for size, at in enumerate(b.frequent(filters, longest), 1):
         if not len(at):
             continue
@@ -259,22 +269,32 @@ def _phrases(b: Block, filters: list[Filter], longest: int) -> list[tuple]:
         same = b.lang[at] == b.lang[lead]
         for k in range(size):
             same[same] = b.same(at[same] + k, lead[same] + k)
-        f = np.bincount(group[same], minlength=len(first))
-        rows += [_row(b, size, i, n) for i, n in zip(at[first].tolist(), f.tolist())]
-        rows += [_row(b, size, i, 1) for i in at[~same].tolist()]
-    totals: dict[str, int] = {}
-    for lang, n in zip(b.langs, b.count.tolist()):
-        totals[lang] = totals.get(lang, 0) + n
-    return rows + [(lang, 0, "", n, None) for lang, n in totals.items()]
+        odd = np.flatnonzero(~same)
+        f = np.concatenate((np.bincount(group[same], minlength=len(first)), np.ones(len(odd), dtype=np.int64)))
+        shown = np.concatenate((first, odd))
+        yield _table(b, keys[shown], size, b.texts(at[shown], size), f, b.doc[at[shown]], b.place[at[shown]])
+    nothing = pa.array([""] * len(b.langs), pa.string())
+    seeds = np.array([xxhash.xxh64_intdigest(x) for x in b.langs], dtype=np.uint64)
+    yield _table(b, seeds, 0, nothing, b.count, np.arange(len(b.langs)), np.zeros(len(b.langs), dtype=np.int64))
 
 
-def _row(b: Block, size: int, at: int, f: int) -> tuple:
-    return b.langs[b.doc[at]], size, b.text(at, size), f, {"doc_id": b.ids[b.doc[at]], "word": int(b.place[at])}
+def _table(b: Block, keys, size: int, phrases: pa.Array, f, doc, place) -> pa.Table:
+    ids = pa.array([_NO_DOC if x is None else x for x in b.ids], pa.int64())
+    return pa.table({
+        "lang": pa.array(b.langs, pa.string()).take(pa.array(doc)), "size": pa.array(np.full(len(f), size), pa.int32()), "phrase": phrases,
+        "fp": pa.array(keys, pa.uint64()), "f": pa.array(f, pa.int64()), "doc_id": ids.take(pa.array(doc)), "word": pa.array(place, pa.int64())})
+
+
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    """One row for each text, with the least pointer."""
+    whole = pa.concat_tables(tables).sort_by([("doc_id", "ascending"), ("word", "ascending")])
+    out = whole.group_by(["lang", "size", "phrase", "fp"], use_threads=False).aggregate([("f", "sum"), ("doc_id", "first"), ("word", "first")])
+    return out.rename_columns(["lang", "size", "phrase", "fp", "f", "doc_id", "word"])
 
 
 def frequent_phrases(docs: DataFrame, scratch: common.Scratch, least: int = LEAST, longest: int = LONGEST, block: int = BLOCK,
                      bits: int = FILTER_BITS, limit: int = FILTER_LIMIT, mask: int = _ALL) -> DataFrame:
-    """lang, size, phrase, f and least pointer of every run of up to ``longest`` words that occurs ``least`` times; size 0: all words."""
+    """lang, size, phrase, f and the least doc_id and word of every run of up to ``longest`` words that occurs ``least`` times; size 0: all words."""
     common.small_batches(docs.sparkSession)
     texts = _texts(docs)
     context = docs.sparkSession.sparkContext
@@ -292,15 +312,40 @@ def frequent_phrases(docs: DataFrame, scratch: common.Scratch, least: int = LEAS
         scratch.drop(found)
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("f", pa.int64()),
-                            ("pointer", pa.struct([("doc_id", pa.int64()), ("word", pa.int64())]))])
+        held_tables: list[pa.Table] = []
         for b in blocks(batches, block, mask):
-            rows = _phrases(b, known(), longest)
-            for i in range(0, len(rows), 1 << 14):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i:i + (1 << 14)]), schema.types)], schema=schema)
-
-    found = texts.mapInArrow(phrases, _FOUND).groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"), F.min("pointer").alias("pointer"))
-    return found.filter((F.col("f") >= least) | (F.col("size") == 0))
+            held_tables += _phrases(b, known(), longest)
+            if sum(len(x) for x in held_tables) > _HELD_ROWS:
+                held_tables = [_summed(held_tables)]
+                if len(held_tables[0]) > _HELD_ROWS // 2:
+                    yield _packed(held_tables, shares)
+                    held_tables = []
+        if held_tables:
+            yield _packed(held_tables, shares)
+
+    def total(group: pa.Table) -> pa.Table:
+        whole = _summed([pa.ipc.open_stream(x.as_buffer()).read_all() for x in group["rows"]])
+        return whole.filter((pc.field("f") >= least) | (pc.field("size") == 0)).drop(["fp"])
+
+    shares = _SHARES * common.partitions(docs.sparkSession)
+    found = texts.mapInArrow(phrases, "share int, rows binary").groupBy("share").applyInArrow(total, _FOUND)
+    return found.withColumn("doc_id", F.when(F.col("doc_id") > _NO_DOC, F.col("doc_id")))
+
+
+def _packed(tables: list[pa.Table], shares: int) -> pa.RecordBatch:
+    """A row for each share of the fingerprints, so that few rows are shuffled."""
+    whole = _summed(tables)
+    share = (whole["fp"].to_numpy() % np.uint64(shares)).astype(np.int32)
+    order = np.argsort(share, kind="stable")
+    whole, share = whole.take(pa.array(order)).combine_chunks(), share[order]
+    found, first = np.unique(share, return_index=True)
+    out = []
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(share)]):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, whole.schema) as stream:
+            stream.write_table(whole.slice(a, b - a))
+        out.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_pydict({"share": pa.array(found, pa.int32()), "rows": pa.array(out, pa.binary())})
 
 
 def _joined(words, start, size):
@@ -308,10 +353,10 @@ def _joined(words, start, size):
 
 
 def scored(frequent: DataFrame) -> DataFrame:
-    """lang, phrase, a, l, r, n, score and pointer of every phrase that no longer one covers."""
+    """lang, share, phrase, a, l, r, n, score and pointer of every phrase that no longer one covers."""
     exact = "decimal(38,0)"
     words = F.split("phrase", " ")
-    several = frequent.filter("size > 1").select("lang", "size", "phrase", F.col("f").alias("a"), "pointer")
+    several = frequent.filter("size > 1").select("lang", "size", "phrase", F.col("f").alias("a"), "doc_id", "word")
     # Parts of every phrase; those that are as frequent as it are covered by it.
     parts = F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda n: F.transform(
         F.sequence(F.lit(1), F.col("size") - n + 1), lambda i: _joined(words, i, n))))
@@ -323,11 +368,14 @@ def scored(frequent: DataFrame) -> DataFrame:
     of = frequent.filter("size > 0").select("lang", "phrase", "f")
     both = cuts.join(of.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l")), ["lang", "head"])
     both = both.join(of.select("lang", F.col("phrase").alias("tail"), F.col("f").alias("r")), ["lang", "tail"])
-    both = both.join(frequent.filter("size = 0").select("lang", F.col("f").alias("n")), "lang")
+    # A language's total meets each share of its phrases, so that no task has a whole language.
+    both = both.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(_RANKED)).cast("int"))
+    total = frequent.filter("size = 0").select("lang", F.col("f").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(_RANKED - 1))).alias("share"))
+    both = both.join(total, ["lang", "share"])
     both = both.select("*", F.expr(
         f"(cast(1000 * cast(a as {exact}) * n as {exact})) div (cast(l as {exact}) * r)").alias("score"))
-    best = both.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n", "pointer")).alias("best"))
-    return best.select("lang", "phrase", "best.*")
+    best = both.groupBy("lang", "share", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n", "doc_id", "word")).alias("best"))
+    return best.select("lang", "share", "phrase", "best.*")
 
 
 def mine(spark: SparkSession, docs: DataFrame, top: int = TOP, **options) -> DataFrame:
@@ -335,13 +383,11 @@ def mine(spark: SparkSession, docs: DataFrame, top: int = TOP, **options) -> Dat
     scratch = common.Scratch(spark)
     found = scratch.keep(scratch.stored(frequent_phrases(docs, scratch, **options), "phrases"))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    # First the best of each share of a language, so that one language is not ranked in one task.
-    share = F.pmod(F.xxhash64("phrase"), F.lit(common.partitions(spark)))
-    ranked = scored(found).withColumn("share", share)
+    ranked = scored(found)  # first the best of each share of a language are taken
     for keys in (["lang", "share"], ["lang"]):
         ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score",
-                         F.col("pointer.doc_id").alias("first_doc_id"), F.col("pointer.word").alias("first_word"))
+                         F.col("doc_id").alias("first_doc_id"), F.col("word").alias("first_word"))
 
 
 #: The rows of ``mine`` but for where a phrase occurs first.

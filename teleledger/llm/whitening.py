@@ -199,7 +199,7 @@ def components(matrix: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``k`` largest eigenvalues of a symmetric matrix, falling, and their unit vectors as columns."""
     diagonal, beside, mirrors = tridiagonal(matrix)
     values, n = leading_values(diagonal, beside, k), len(matrix)
-    size = max(np.abs(diagonal).max(), np.abs(beside).max(initial=0.0), np.finfo(float).tiny)
+    size = max(np.abs(diagonal).max(), np.abs(beside).max(initial=0.0), 1e-200)
     vectors, random = np.zeros((n, k)), np.random.default_rng(13)
     for c, value in enumerate(values):
         first = c
