@@ -35,7 +35,7 @@ from teleledger.llm import common
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bytes of text that a task works on at once.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Size of a filter in bits: so many for each fingerprint, and no more than the limit whatever the data.
 FILTER_BITS, FILTER_LIMIT = 16, 1 << 28
 _BASE = 0x9E3779B97F4A7C15
@@ -44,7 +44,7 @@ _COUNTS = "fp long, f long"
 _FOUND = "lang string, size int, phrase string, f long, doc_id long, word long"
 _NO_DOC = -(2**63)
 #: Rows that a task sums before it sends them on; shares for each partition; shares of a language that are ranked by themselves.
-_HELD_ROWS, _SHARES, _RANKED = 1 << 20, 8, 128
+_HELD_ROWS, _SHARES, _RANKED = 1 << 19, 8, 128
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: 0: part of a word, 1: between words, 2: between pieces.
