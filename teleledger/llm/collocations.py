@@ -22,7 +22,6 @@ those signs is held whole. Other columns of the input are not read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +35,7 @@ from teleledger.llm import common
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bytes of text that a task works on at once.
 BLOCK = 2 << 20
-#: Size of a filter in bits: so many for each fingerprint, and no more than the limit whatever the data.
-FILTER_BITS, FILTER_LIMIT = 16, 1 << 28
-_BASE = 0x9E3779B97F4A7C15
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _ALL = 2**64 - 1
 _COUNTS = "fp long, f long"
 _FOUND = "lang string, size int, phrase string, f long, doc_id long, word long"
@@ -51,46 +48,6 @@ _LOWER[65:91] += 32
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
-_powers = np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, up to ``n`` at least."""
-    global _powers
-    if len(_powers[0]) <= n:
-        size = n + 1 + n // 8
-        base = np.full(size, _BASE, dtype=np.uint64)
-        inverse = np.full(size, pow(_BASE, -1, 2**64), dtype=np.uint64)
-        base[0] = inverse[0] = 1
-        _powers = np.cumprod(base), np.cumprod(inverse)
-    return _powers
-
-
-def fingerprints(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, mask: int = _ALL) -> np.ndarray:
-    """Of ``values[start:end]`` each, by prefix polynomials. ``mask`` weakens them, for tests of collisions."""
-    up, down = _power_tables(len(values))
-    prefix = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.multiply(values, up[:len(values)], out=prefix[1:])
-    np.cumsum(prefix, out=prefix)
-    x = (prefix[ends] - prefix[starts]) * down[starts]
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return (x ^ (x >> np.uint64(31))) & np.uint64(mask)
-
-
-@dataclass(frozen=True)
-class Filter:
-    """Which fingerprints may be frequent: two bits each."""
-
-    words: np.ndarray
-
-    def has(self, x: np.ndarray) -> np.ndarray:
-        slots = np.uint64(len(self.words) * 64 - 1)
-        found = np.ones(len(x), dtype=bool)
-        for y in (x, x >> np.uint64(32)):
-            y = y & slots
-            found &= (self.words[y >> np.uint64(6)] >> (y & np.uint64(63)) & np.uint64(1)).astype(bool)
-        return found
 
 
 class Block:
@@ -111,17 +68,17 @@ class Block:
         self.place = np.arange(len(self.starts)) - before[self.doc]
         self.place[self.doc == 0] += first
         self.mask = mask
-        self.raw = fingerprints(self.data.astype(np.uint64) + np.uint64(1), self.starts, self.ends, mask)
+        self.raw = common.fingerprints(self.data.astype(np.uint64) + np.uint64(1), self.starts, self.ends, mask)
         number = {lang: i for i, lang in enumerate(dict.fromkeys(langs))}
         self.lang = np.array([number[x] for x in langs])[self.doc]
         self.seed = np.array([xxhash.xxh64_intdigest(x) for x in number], dtype=np.uint64)[self.lang]
 
     def runs(self, size: int, starts: np.ndarray) -> np.ndarray:
         """Fingerprints of ``size`` words from each of ``starts``, each language and size apart."""
-        x = fingerprints(self.raw, starts, starts + size, self.mask) + self.seed[starts]
-        return (x + np.uint64(size)) * np.uint64(_BASE) & np.uint64(self.mask)
+        x = common.fingerprints(self.raw, starts, starts + size, self.mask) + self.seed[starts]
+        return (x + np.uint64(size)) * _BASE & np.uint64(self.mask)
 
-    def frequent(self, filters: list[Filter], size: int) -> list[np.ndarray]:
+    def frequent(self, filters: list[common.Filter], size: int) -> list[np.ndarray]:
         """Starts of the runs of 1, 2 ... ``size`` words that may be frequent, going by the filters known so far."""
         out = [np.arange(len(self.starts))]
         if filters:
@@ -242,20 +199,7 @@ def _counted(texts: DataFrame, least: int, block: int, mask: int, pick: Callable
     return texts.mapInArrow(count, _COUNTS).groupBy("fp").agg(F.sum("f").alias("f")).filter(F.col("f") >= least).select("fp")
 
 
-def _filter(found: DataFrame, bits: int, limit: int) -> Filter:
-    """Of stored fingerprints. Its words are made by the tasks; their number does not pass the limit."""
-    n = found.count()
-    slots = min(max(1 << (bits * n).bit_length(), 1 << 12), limit)
-    halves = found.select(F.explode(F.array(F.col("fp"), F.shiftrightunsigned("fp", 32))).alias("x"))
-    slot = F.col("x").bitwiseAND(F.lit(slots - 1))
-    set_ = halves.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(x & 63L))")).alias("set"))
-    got = set_.toArrow()
-    words = np.zeros(slots // 64, dtype=np.uint64)
-    words[got["at"].to_numpy()] = got["set"].to_numpy().view(np.uint64)
-    return Filter(words)
-
-
-def _phrases(b: Block, filters: list[Filter], longest: int) -> Iterator[pa.Table]:
+def _phrases(b: Block, filters: list[common.Filter], longest: int) -> Iterator[pa.Table]:
     """The phrases of a block that may be frequent, with verified counts. An empty phrase has the words of a language."""
     for size, at in enumerate(b.frequent(filters, longest), 1):
         if not len(at):
@@ -293,22 +237,22 @@ def _summed(tables: list[pa.Table]) -> pa.Table:
 
 
 def frequent_phrases(docs: DataFrame, scratch: common.Scratch, least: int = LEAST, longest: int = LONGEST, block: int = BLOCK,
-                     bits: int = FILTER_BITS, limit: int = FILTER_LIMIT, mask: int = _ALL) -> DataFrame:
+                     bits: int = common.FILTER_BITS, limit: int = common.FILTER_LIMIT, mask: int = _ALL) -> DataFrame:
     """lang, size, phrase, f and the least doc_id and word of every run of up to ``longest`` words that occurs ``least`` times; size 0: all words."""
     common.small_batches(docs.sparkSession)
     texts = _texts(docs)
     context = docs.sparkSession.sparkContext
     held: list = []
 
-    def known() -> list[Filter]:
-        return [Filter(x.value) for x in held]
+    def known() -> list[common.Filter]:
+        return [common.Filter(x.value) for x in held]
 
     picks = [lambda b: b.runs(1, np.arange(len(b.starts))),
              lambda b: b.runs(2, b.frequent(known(), 2)[1]),
              lambda b: np.concatenate([b.runs(n, at) for n, at in enumerate(b.frequent(known(), longest)[2:], 3)] or [np.zeros(0, np.uint64)])]
     for pick in picks:
         found = scratch.stored(_counted(texts, least, block, mask, pick), "frequent")
-        held.append(context.broadcast(_filter(found, bits, limit).words))
+        held.append(context.broadcast(common.filter_of(found, bits, limit).words))
         scratch.drop(found)
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

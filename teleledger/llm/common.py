@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,10 @@ from teleledger.session import ship
 
 #: Rows a Python worker gets at once; long texts must not add up.
 BATCH_ROWS = 256
+#: Size of a filter in bits: so many for each fingerprint, and no more than the limit whatever the data.
+FILTER_BITS, FILTER_LIMIT = 16, 1 << 28
+_BASE = 0x9E3779B97F4A7C15
+_ALL = 2**64 - 1
 
 _local_roots: dict[str, str] = {}
 _kept: dict[str, list[str]] = {}
@@ -82,6 +90,16 @@ def release(spark: SparkSession) -> None:
         remove(spark, path)
 
 
+@contextmanager
+def reading(spark: SparkSession) -> Iterator[None]:
+    """Within it results are made and read; what they alone read is removed at its end."""
+    kept = _kept.setdefault(spark.sparkContext.applicationId, [])
+    before = len(kept)
+    yield
+    while len(kept) > before:
+        remove(spark, kept.pop())
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """A stored table that stays until ``release``."""
     scratch = Scratch(df.sparkSession)
@@ -100,21 +118,84 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have; case does not tell names apart."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop input columns that an operator's own outputs replace; case does not tell names apart."""
     taken = {n.lower() for n in names}
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in taken])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, root``: the least node that each node of ``edges`` (``a``, ``b``) reaches.
+_powers = np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, up to ``n`` at least."""
+    global _powers
+    if len(_powers[0]) <= n:
+        size = n + 1 + n // 8
+        base = np.full(size, _BASE, dtype=np.uint64)
+        inverse = np.full(size, pow(_BASE, -1, 2**64), dtype=np.uint64)
+        base[0] = inverse[0] = 1
+        _powers = np.cumprod(base), np.cumprod(inverse)
+    return _powers
+
+
+def fingerprints(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, mask: int = _ALL) -> np.ndarray:
+    """Of ``values[start:end]`` each, by prefix polynomials. ``mask`` weakens them, for tests of collisions."""
+    up, down = _power_tables(len(values))
+    prefix = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.multiply(values, up[:len(values)], out=prefix[1:])
+    np.cumsum(prefix, out=prefix)
+    x = (prefix[ends] - prefix[starts]) * down[starts]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x ^ (x >> np.uint64(31))) & np.uint64(mask)
+
+
+@dataclass(frozen=True)
+class Filter:
+    """Which fingerprints may be frequent: two bits each."""
+
+    words: np.ndarray
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        slots = np.uint64(len(self.words) * 64 - 1)
+        found = np.ones(len(x), dtype=bool)
+        for y in (x, x >> np.uint64(32)):
+            y = y & slots
+            found &= (self.words[y >> np.uint64(6)] >> (y & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return found
+
+
+def filter_of(found: DataFrame, bits: int, limit: int) -> Filter:
+    """Of stored fingerprints. Its words are made by the tasks; their number does not pass the limit."""
+    n = found.count()
+    slots = min(max(1 << (bits * n).bit_length(), 1 << 12), limit)
+    halves = found.select(F.explode(F.array(F.col("fp"), F.shiftrightunsigned("fp", 32))).alias("x"))
+    slot = F.col("x").bitwiseAND(F.lit(slots - 1))
+    set_ = halves.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(x & 63L))")).alias("set"))
+    got = set_.toArrow()
+    words = np.zeros(slots // 64, dtype=np.uint64)
+    words[got["at"].to_numpy()] = got["set"].to_numpy().view(np.uint64)
+    return Filter(words)
+
+
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """``node, root``: the least node that each node of ``edges`` (``a``, ``b``) reaches. ``scratch`` owns the result, if given.
 
     Alternates two steps until nothing changes: every node hands its larger neighbours to the least node it knows,
     then its smaller ones. Each step is a minimum by key and a join, so a hub is split like any skewed key.
     Nodes without an edge to another node have no row.
     """
     least, most = F.least("a", "b"), F.greatest("a", "b")
-    scratch = Scratch(edges.sparkSession)
+    owner, scratch = scratch, scratch or Scratch(edges.sparkSession)
     edges = scratch.stored(edges.filter(F.col("a") != F.col("b")).select(most.alias("a"), least.alias("b")).distinct(), "edges")
     seen = None
     while True:
@@ -131,5 +212,5 @@ def components(edges: DataFrame) -> DataFrame:
         scratch.drop(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:
-            return scratch.keep(edges).select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return (edges if owner else scratch.keep(edges)).select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = now

@@ -1,181 +1,351 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line kept per connected group.
 
-A line is normalised by lower-casing, replacing digits by ``0`` and every run of other signs by a space. Lines of at
-least ``MIN_WORDS`` words are judged, the others stay. Equal normalised lines are one node. Nodes whose SimHashes over words
-differ in at most ``LIMIT`` bits agree in ``BLOCKS - LIMIT`` of ``BLOCKS`` blocks, so they meet under one of the keys made
-of so many blocks. Pairs under a key are verified: SimHash distance, then edit distance at most ``1 - SIMILARITY`` of the longer
-line. Of each connected group the first occurrence is kept, by doc_id, then place in the text.
+A line is normalised by lower-casing, replacing digits by ``0`` and every run of other signs by a space; lines without a word
+stay. Lines with equal normal forms are one node. The fingerprint of a node has a block of 64 bits for every ``BLOCK_WORDS`` to
+twice as many words: each word is dealt to a block by its hash, and a block is the SimHash of its distinct words. A changed word touches
+two blocks at most, so by the pigeonhole principle nodes with few changes share a block. One of fewer than ``KEY_WORDS`` words
+goes together with those after it; of lines below 16 words, three of ``FEW`` blocks must agree. Nodes that share a block are
+verified: edit distance at most ``1 - SIMILARITY`` of the longer line. Nodes of fewer than ``MIN_WORDS`` words are only compared
+exactly. Of each connected group the first occurrence is kept, by doc_id, a hash of the text, and place in the text.
 
-Under each key all nodes are first compared with the least one; pairs that are already connected by then are not compared again,
-so a key with very many variants of one line does not give all pairs.
+Under a block all nodes are first compared with the least one; pairs that are connected by then are not compared again, so a
+block with very many variants of one line does not give all pairs.
 
 Null text has no lines and stays null; a null doc_id comes first. Rows that repeat doc_id and text are one document and get the
-same result; of rows with one doc_id and different texts, one keeps a line that they share. Columns of the input named
-like an output are replaced. Only DataFrame functions are used.
+same result. Very long lines are compared whole. An empty table gives an empty one. Columns of the input named like an output are
+replaced; all others pass, whatever their names, and a document keeps one row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from teleledger.llm import common
 
-MIN_WORDS = 5
+MIN_WORDS, BLOCK_WORDS, KEY_WORDS, FEW = 5, 4, 5, 5
 SIMILARITY = 0.8
-LIMIT, BLOCKS = 3, 5
+#: Characters that a task works on at once; a longer text is one part.
+PART = 1 << 20
 _OUT = ("n_lines", "n_removed")
 _LOWEST = -(2**63)
+_PLAIN = bytes(c if chr(c).isalnum() or c > 127 or c == 10 else 32 for c in range(256)).translate(
+    bytes.maketrans(b"123456789", b"000000000"))
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+_FOUND = "d long, t long, place int, h1 long, h2 long, line string, keys array<long>"
 
 
-def normal(text: Column) -> Column:
-    """Line breaks stay."""
-    plain = F.regexp_replace(F.lower(text), "[0-9]", "0")
-    return F.regexp_replace(plain, r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", " ")
+def _document() -> list[Column]:
+    """d and t: what tells documents apart and orders them."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("d"), F.xxhash64("text").alias("t")]
 
 
-def _fingerprint(counts: list[Column], n: Column) -> Column:
-    """A bit is set if it is in over half of ``n`` hashes; ``counts[k]`` holds the counts of bits k (low half) and k + 32."""
-    zero, out = F.lit(0).cast("long"), F.lit(0).cast("long")
-    for k, count in enumerate(counts):
-        high = 1 << (k + 32) if k < 31 else _LOWEST
-        out = out.bitwiseOR(F.when(2 * count.bitwiseAND(F.lit(0xFFFFFFFF)) > n, F.lit(1 << k).cast("long")).otherwise(zero))
-        out = out.bitwiseOR(F.when(2 * F.shiftrightunsigned(count, 32) > n, F.lit(high)).otherwise(zero))
-    return out
+def normal(text: str) -> bytes:
+    """UTF-8 of the normalised text. Line breaks stay, and spaces are not yet joined."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_PLAIN)
 
 
-def _document(docs: DataFrame) -> tuple[Column, Column]:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)), F.xxhash64("text")
+class Lines:
+    """The judged lines of some texts, in order: where they lie, their hashes, and the keys under which they meet."""
 
+    def __init__(self, texts: list[str]):
+        data = b"\n".join(normal(x) for x in texts)
+        self.raw = np.frombuffer(data, dtype=np.uint8)
+        breaks = np.flatnonzero(self.raw == 10)
+        per_text = np.array([x.count("\n") + 1 for x in texts], dtype=np.int64)
+        first = np.cumsum(per_text) - per_text
+        line_text = np.repeat(np.arange(len(texts)), per_text)
+        word = (self.raw != 10) & (self.raw != 32)
+        edge = np.diff(np.concatenate(([False], word, [False])).view(np.int8))
+        self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        of = np.searchsorted(breaks, self.starts)
+        lines, self.first, self.words = np.unique(of, return_index=True, return_counts=True)
+        self.text = line_text[lines]
+        self.place = lines - first[self.text]
+        self.hashes = common.fingerprints(self.raw.astype(np.uint64) + np.uint64(1), self.starts, self.ends)
+        last = self.first + self.words
+        self.h1 = common.fingerprints(self.hashes, self.first, last)
+        self.h2 = common.fingerprints(self.hashes * _ODD ^ (self.hashes >> np.uint64(29)), self.first, last)
 
-def lines(docs: DataFrame, least: int = MIN_WORDS, *more: str) -> DataFrame:
-    """d, t (document), place, line (normalised), h1, h2 (its hash) of each judged line, and further columns of ``docs``."""
-    d, t = _document(docs)
-    split = docs.filter(F.col("text").isNotNull()).select(
-        *more, d.alias("d"), t.alias("t"), F.posexplode(F.split(normal(F.col("text")), "\n")).alias("place", "padded"))
-    enough = split.filter(F.col("padded").rlike("^ ?(?:[^ ]+ ){%d}[^ ]" % (least - 1)))
-    return enough.select(*more, "d", "t", "place", F.trim("padded").alias("line")).select(
-        "*", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
+    def line(self, i: int) -> str:
+        a, n = self.first[i], self.words[i]
+        return b" ".join(self.raw[self.starts[a]:self.ends[a + n - 1]].tobytes().split()).decode("utf-8", "surrogatepass")
 
+    def keys(self, chosen: np.ndarray) -> list[np.ndarray]:
+        """Keys of each of the chosen lines. Near the most words of a number of blocks, those of the next number too."""
+        out: list[list[np.ndarray]] = [[] for _ in chosen]
+        blocks = block_count(self.words[chosen])
+        above = block_count(np.ceil(self.words[chosen] / SIMILARITY).astype(np.int64))
+        for level, which in ((blocks, np.arange(len(chosen))), (above, np.flatnonzero(above > blocks))):
+            which = which[self.words[chosen[which]] >= MIN_WORDS]
+            for at, found in zip(which.tolist(), self._level(chosen[which], level[which])):
+                out[at].append(found)
+        return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
 
-def marked(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """h1, h2, d, t, place, fp of each judged line: all that later steps need but for the lines' text.
+    def _level(self, chosen: np.ndarray, blocks: np.ndarray) -> list[np.ndarray]:
+        if not len(chosen):
+            return []
+        n = self.words[chosen]
+        at = np.arange(n.sum()) + np.repeat(self.first[chosen] - np.cumsum(n) + n, n)
+        hashes = self.hashes[at]
+        base = np.cumsum(blocks) - blocks
+        block = np.repeat(base, n) + (hashes >> np.uint64(33)).astype(np.int64) % np.repeat(blocks, n)
+        # A word counts once, or the commonest word alone would be the SimHash of its block.
+        each = np.argsort(block.astype(np.uint64) << np.uint64(40) | hashes >> np.uint64(24))
+        hashes, block = hashes[each], block[each]
+        new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (block[1:] != block[:-1])))
+        hashes, block = hashes[new], block[new]
+        # Bits of another hash than the one that deals the words.
+        mixed = (hashes ^ (hashes >> np.uint64(31))) * _ODD
+        size = np.bincount(block, minlength=int(blocks.sum()))
+        found = np.flatnonzero(size)
+        ones = _ones(mixed, np.cumsum(size[found]) - size[found])
+        line = np.searchsorted(base, found, side="right") - 1
+        long = np.flatnonzero(blocks[line] != FEW)
+        present = np.bincount(line, minlength=len(chosen))
+        start = np.cumsum(present) - present
+        long_ones, long_size = ones[long].copy(), size[found[long]]
+        for step in range(1, KEY_WORDS):
+            todo = np.flatnonzero((long_size < KEY_WORDS) & (step < present[line[long]]))
+            then = long[todo] - start[line[long[todo]]] + step
+            then = start[line[long[todo]]] + then % present[line[long[todo]]]
+            long_ones[todo] += ones[then]
+            long_size[todo] += size[found[then]]
+        part = found[long] - base[line[long]] + 65_537 * blocks[line[long]]
+        keys, lines = [_hashed(long_ones, long_size, part)], [line[long]]
+        few = np.flatnonzero(blocks[line] == FEW)
+        short = np.flatnonzero(blocks == FEW)
+        slot = (np.cumsum(blocks == FEW) - 1)[line[few]] * FEW + found[few] - base[line[few]]
+        short_ones, short_size = np.zeros((len(short) * FEW, 64), dtype=np.int32), np.zeros(len(short) * FEW, dtype=np.int64)
+        short_ones[slot], short_size[slot] = ones[few], size[found[few]]
+        short_ones, short_size = short_ones.reshape(-1, FEW, 64), short_size.reshape(-1, FEW)
+        for k, three in enumerate(combinations(range(FEW), 3)):
+            total = short_size[:, three].sum(axis=1)
+            enough = total >= KEY_WORDS - 1
+            keys.append(_hashed(short_ones[enough][:, three].sum(axis=1), total[enough], np.full(int(enough.sum()), 1 + k)))
+            lines.append(short[enough])
+        all_keys, of = np.concatenate(keys), np.concatenate(lines)
+        order = np.argsort(of, kind="stable")
+        edges = np.searchsorted(of[order], np.arange(len(chosen) + 1))
+        all_keys = all_keys[order]
+        return [all_keys[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
 
-    The words are counted as rows, so that hashing and counting stay in generated code; two counts share a number. Rows that repeat
-    a document are kept apart by a row number.
-    """
-    line = ["row", "place", "h1", "h2", "d", "t"]
-    words = lines(docs.withColumn("row", F.monotonically_increasing_id()), least, "row").select(
-        *line, F.explode(F.split("line", " ")).alias("w")).select(*line, F.xxhash64("w").alias("h"))
-    pair = F.lit(1 + (1 << 32))
-    counted = words.groupBy(*line).agg(F.count("*").alias("n"), *[
-        F.sum(F.shiftrightunsigned("h", k).bitwiseAND(pair)).alias(f"c{k}") for k in range(32)])
-    fp = _fingerprint([F.col(f"c{k}") for k in range(32)], F.col("n"))
-    return counted.select("h1", "h2", "d", "t", "place", fp.alias("fp"))
 
+def _ones(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How often each bit is set from one of ``starts`` to the next."""
+    if np.diff(np.append(starts, len(hashes))).max() >= 1 << 16:
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        return np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    # Four counts share a number, 16 bits each.
+    lanes = (hashes[:, None] >> np.arange(16, dtype=np.uint64)) & np.uint64(0x0001000100010001)
+    return np.add.reduceat(lanes, starts, axis=0).view(np.uint16).reshape(-1, 16, 4).transpose(0, 2, 1).reshape(-1, 64).astype(np.int32)
 
-def _occurrences(made: DataFrame) -> DataFrame:
-    """h1, h2, fp, d0, t0, p0 (the first occurrence) and n of each distinct line."""
-    each = made.groupBy("h1", "h2", "d", "t").agg(F.min("place").alias("p"), F.min("fp").alias("fp"), F.count("*").alias("n"))
-    return each.groupBy("h1", "h2").agg(
-        F.min("fp").alias("fp"), F.min("d").alias("d0"), F.min_by("t", "d").alias("t0"), F.min_by("p", "d").alias("p0"),
-        F.sum("n").alias("n"))
 
+def _hashed(ones: np.ndarray, size: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Keys of which blocks, and their SimHash: the bits that over half of the words have."""
+    prints = np.packbits(2 * ones > size[:, None], axis=1).view(np.uint64).ravel()
+    keys = (prints ^ (part.astype(np.uint64) * _ODD)) * _ODD
+    return keys ^ (keys >> np.uint64(32))
 
-def _keyed(nodes: DataFrame, limit: int = LIMIT, blocks: int = BLOCKS) -> DataFrame:
-    """h1 and fp of every node under each of its keys: which blocks, and their bits, as one hash."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    keys = []
-    for k, chosen in enumerate(combinations(range(blocks), blocks - limit)):
-        mask = sum(((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in chosen)
-        mask = mask - (1 << 64) if mask >= 1 << 63 else mask
-        keys.append(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(mask))))
-    return nodes.select("h1", "fp", F.explode(F.array(*keys)).alias("key"))
 
+def block_count(words: np.ndarray) -> np.ndarray:
+    """Blocks of a line: ``FEW`` below 16 words, then a power of two."""
+    return np.where(words < 16, FEW, 1 << np.floor(np.log2(np.maximum(words / BLOCK_WORDS, 1))).astype(np.int64))
 
-def _texts(docs: DataFrame, seen: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
-    """h1 and text of the lines in ``pairs``, each from one occurrence, so that a very common line is not gathered."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    wanted = common.stored(seen.join(asked, "h1", "left_semi").select(
-        "h1", F.col("d0").alias("d"), F.col("t0").alias("t"), F.col("p0").alias("place")), "line-wanted")
-    d, t = _document(docs)
-    held = wanted.select(F.col("d").alias("_d"), F.col("t").alias("_t")).distinct()
-    holders = docs.withColumn("_d", d).withColumn("_t", t).join(held, ["_d", "_t"], "left_semi")
-    return lines(holders, least).join(wanted, ["h1", "d", "t", "place"]).groupBy("h1").agg(F.min("line").alias("line"))
 
+def distance_within(a: str, b: str, most: int) -> bool:
+    """Whether ``b`` can be made from ``a`` by ``most`` edits: bit vectors of a whole column of the table at a time."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    start, end = 0, min(len(a), len(b))
+    step = 64
+    while start < end:  # what they begin with, and then what they end with, needs no edits
+        if a[start:start + step] == b[start:start + step] and start + step <= end:
+            start += step
+        elif step > 1:
+            step //= 4
+        else:
+            break
+    a, b, step = a[start:], b[start:], 64
+    same, end = 0, min(len(a), len(b))
+    while same < end:
+        if same + step <= end and a[len(a) - same - step:len(a) - same] == b[len(b) - same - step:len(b) - same]:
+            same += step
+        elif step > 1:
+            step //= 4
+        else:
+            break
+    a, b = a[:len(a) - same], b[:len(b) - same]
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a) <= most
+    at: dict[str, int] = {}
+    for i, c in enumerate(b):
+        at[c] = at.get(c, 0) | 1 << i
+    whole, top, up, down, score = (1 << len(b)) - 1, 1 << (len(b) - 1), (1 << len(b)) - 1, 0, len(b)
+    left = len(a)
+    for c in a:
+        match = at.get(c, 0)
+        diagonal = (((match & up) + up) ^ up) | match | down
+        right, back = down | (whole & ~(diagonal | up)), up & diagonal
+        left -= 1
+        if right & top:
+            score += 1
+        elif back & top:
+            score -= 1
+        if score - left > most:
+            return False
+        right = (right << 1) | 1
+        back <<= 1
+        up, down = (back | (whole & ~(diagonal | right))) & whole, right & diagonal & whole
+    return score <= most
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+
+def similar(a: str, b: str, similarity: float) -> bool:
+    return distance_within(a, b, int(max(len(a), len(b)) * (1 - similarity) + 1e-9))
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Lines, np.ndarray]]:
+    """Parts of batches with their lines, and the first line of each normal form in the part."""
+    for batch in batches:
+        texts, a = batch.column("text").to_pylist(), 0
+        while a < len(texts):
+            b, size = a + 1, len(texts[a])
+            while b < len(texts) and size + len(texts[b]) < PART:
+                size += len(texts[b])
+                b += 1
+            found = Lines(texts[a:b])
+            yield batch.slice(a, b - a), found, np.unique(found.h1, return_index=True)[1]
+            a = b
+
+
+def _shared_keys(texts: DataFrame) -> DataFrame:
+    """Keys that two nodes or more have, each with its least node."""
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found, first in _each(batches):
+            each = found.keys(first)
+            nodes = np.repeat(found.h1[first], [len(x) for x in each])
+            yield pa.RecordBatch.from_pydict({
+                "key": pa.array(np.concatenate([*each, np.zeros(0, np.uint64)]).view(np.int64), pa.int64()),
+                "node": pa.array(nodes.view(np.int64), pa.int64())})
+
+    made = texts.select("text").mapInArrow(keys, "key long, node long")
+    shared = made.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    return shared.select("key", "low")
+
+
+def _found_lines(texts: DataFrame, filter_words) -> DataFrame:
+    """Every judged line; the first of a normal form in a batch with its text and keys if it may share one of them."""
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = common.Filter(filter_words.value)
+        for batch, found, first in _each(batches):
+            each = found.keys(first)
+            sizes = np.array([len(x) for x in each], dtype=np.int64)
+            flat = np.concatenate([*each, np.zeros(0, np.uint64)])
+            hit = shared.has(flat)
+            owner = np.repeat(np.arange(len(first)), sizes)
+            lines: list[str | None] = [None] * len(found.h1)
+            keys: list[np.ndarray | None] = [None] * len(found.h1)
+            flat, owner = flat[hit].view(np.int64), owner[hit]
+            edges = np.searchsorted(owner, np.arange(len(first) + 1)).tolist()
+            for at, a, b in zip(first.tolist(), edges[:-1], edges[1:]):
+                if b > a:
+                    lines[at], keys[at] = found.line(at), flat[a:b]
+            rows = pa.array(found.text)
+            yield pa.RecordBatch.from_pydict({
+                "d": batch.column("d").take(rows), "t": batch.column("t").take(rows), "place": pa.array(found.place, pa.int32()),
+                "h1": pa.array(found.h1.view(np.int64)), "h2": pa.array(found.h2.view(np.int64)),
+                "line": pa.array(lines, pa.string()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+
+    return texts.mapInArrow(find, _FOUND)
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """Pairs a, b whose lines are similar enough."""
-    texts = common.stored(texts, "line-texts")
-    both = (pairs.join(texts.withColumnsRenamed({"h1": "a", "line": "line_a"}), "a")
-            .join(texts.withColumnsRenamed({"h1": "b", "line": "line_b"}), "b"))
-    longest = F.greatest(F.length("line_a"), F.length("line_b"))
-    room = F.floor(longest * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
-    near = F.abs(F.length("line_a") - F.length("line_b")) <= room
-    # Changing the lines word by word takes at least as many edits as the best way. Where that is few enough, the best way is not
-    # worked out; elsewhere with a bound, so that only the band around the diagonal is: beyond the bound the result is -1.
-    apart = F.zip_with(F.split("line_a", " "), F.split("line_b", " "), lambda x, y: F.when(
-        x.isNull() | y.isNull(), F.length(F.coalesce(x, y)) + 1).when(x == y, F.lit(0)).otherwise(F.levenshtein(x, y)))
-    by_word = F.aggregate(apart, F.lit(0), lambda total, x: total + x)
-    return both.withColumn("room", room).filter(near).withColumn("by_word", by_word).filter(
-        (F.col("by_word") <= F.col("room")) | F.expr("levenshtein(line_a, line_b, room) >= 0")).select("a", "b")
-
-
-def links(docs: DataFrame, nodes: DataFrame, seen: DataFrame, least: int, similarity: float, limit: int = LIMIT) -> DataFrame:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [similar(a, b, similarity) for a, b in zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    both = (pairs.join(lines.withColumnsRenamed({"node": "a", "line": "line_a"}), "a")
+            .join(lines.withColumnsRenamed({"node": "b", "line": "line_b"}), "b"))
+    return both.mapInArrow(judge, "a long, b long")
+
+
+def links(found: DataFrame, shared: DataFrame, similarity: float, scratch: common.Scratch) -> DataFrame:
     """node, root over all nodes that are linked to another, roots included."""
-    keyed = _keyed(nodes, limit)
-    # Round one: each node with the least of its key.
-    lead = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    lead = common.stored(lead.select("key", "a"), "line-keys")
-    shared = common.stored(keyed.join(lead, "key"), "line-shared")
-    fps = nodes.withColumnsRenamed({"h1": "a", "fp": "fp_a"})
-    pairs = shared.filter(F.col("h1") != F.col("a")).select("a", F.col("h1").alias("b"), F.col("fp").alias("fp_b")).distinct()
-    pairs = pairs.join(fps, "a").filter(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= limit)
-    pairs = common.stored(pairs.select("a", "b"), "line-pairs")
-    first = common.stored(_verified(pairs, _texts(docs, seen, pairs, least), similarity), "line-links")
-    roots = common.components(first)
-    # Round two: the pairs of a key that are not connected yet.
-    named = shared.select("key", "h1", "fp").join(roots.withColumnRenamed("node", "h1"), "h1", "left").select(
-        "key", "h1", "fp", F.coalesce("root", "h1").alias("root"))
-    side = lambda x: named.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("h1", "fp", "root")])
+    asked = found.filter("keys is not null").select(
+        F.col("h1").alias("node"), F.length("line").alias("chars"), F.explode("keys").alias("key")).distinct()
+    members = scratch.stored(asked.join(shared, "key"), "line-members")  # node, chars, key, low
+    lines = found.filter("line is not null").groupBy(F.col("h1").alias("node")).agg(F.min("line").alias("line"))
+    pairs = members.filter("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    first = scratch.stored(_verified(pairs, lines, similarity), "line-links")
+    roots = common.components(first, scratch)
+    named = members.join(roots, "node", "left").select("key", "node", "chars", F.coalesce("root", "node").alias("root"))
+    mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
+    named = scratch.stored(named.join(mixed, "key"), "line-members")
+    side = lambda x: named.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "chars", "root")])
+    long = F.greatest("chars_a", "chars_b")
     rest = side("a").join(side("b"), "key").filter(
-        (F.col("h1_a") < F.col("h1_b")) & (F.col("root_a") != F.col("root_b"))
-        & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= limit))
-    rest = common.stored(rest.select(F.col("h1_a").alias("a"), F.col("h1_b").alias("b")).distinct(), "line-pairs")
-    found = common.components(first.union(_verified(rest, _texts(docs, seen, rest, least), similarity)))
-    return found.union(found.select(F.col("root").alias("node"), "root").distinct())
+        (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
+        & (F.abs(F.col("chars_a") - F.col("chars_b")) <= long * F.lit(1 - similarity) + F.lit(1e-9)))
+    rest = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    more = scratch.stored(_verified(rest.join(pairs, ["a", "b"], "left_anti"), lines, similarity), "line-links")
+    roots = common.components(first.union(more), scratch)
+    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def dedup(docs: DataFrame, least: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the lines that are not the first of their group, with n_lines and n_removed."""
-    docs = common.without(docs, *_OUT)
-    made = common.stored(marked(docs, least), "lines")
-    seen = common.stored(_occurrences(made), "line-first")
-    nodes = seen.groupBy("h1").agg(F.min("fp").alias("fp"))
-    roots = common.stored(links(docs, nodes, seen, least, similarity), "line-groups")
+def _gone(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """d, t and the places of the lines that are not the first of their group."""
+    here = F.struct("d", "t", "place")
+    seen = found.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("n"))
     # Only lines that occur again or have a group can go.
     grouped = seen.join(roots.withColumnRenamed("node", "h1"), "h1", "left").filter("n > 1 or root is not null").select(
-        "h1", "h2", F.coalesce("root", "h1").alias("g1"), F.when(F.col("root").isNull(), F.col("h2")).alias("g2"), "d0", "t0", "p0")
-    grouped = common.stored(grouped, "line-seen")
-    best = grouped.groupBy("g1", "g2").agg(F.min("d0").alias("d0")).select(
-        F.col("g1").alias("x1"), F.col("g2").alias("x2"), F.col("d0").alias("x"))
-    at_best = grouped.join(best, (F.col("g1") == F.col("x1")) & F.col("g2").eqNullSafe(F.col("x2"))).filter("d0 = x")
-    at_best = at_best.groupBy("g1", "g2", "d0").agg(F.min("p0").alias("p0")).select(
-        F.col("g1").alias("x1"), F.col("g2").alias("x2"), F.col("d0").alias("xd"), F.col("p0").alias("xp"))
-    first = grouped.join(at_best, (F.col("g1") == F.col("x1")) & F.col("g2").eqNullSafe(F.col("x2"))).select(
-        "h1", "h2", "xd", "xp", F.when((F.col("d0") == F.col("xd")) & (F.col("p0") == F.col("xp")), F.col("t0")).alias("xt"))
-    first = common.stored(first, "line-first")
-    again = made.select("h1", "h2", "d", "t", "place").join(first, ["h1", "h2"])
-    gone = again.filter(~((F.col("d") == F.col("xd")) & (F.col("place") == F.col("xp")) & F.coalesce(F.col("t") == F.col("xt"), F.lit(False))))
-    gone = gone.groupBy("d", "t").agg(F.collect_set("place").alias("_gone")).withColumnsRenamed({"d": "_d", "t": "_t"})
-    d, t = _document(docs)
-    joined = docs.withColumn("_d", d).withColumn("_t", t).join(gone, ["_d", "_t"], "left")
-    parts = F.split("text", "\n")
-    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(
-        F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
-    return joined.select(
-        *[kept.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        "h1", "h2", F.coalesce("root", "h1").alias("g1"), F.when(F.col("root").isNull(), F.col("h2")).otherwise(0).alias("g2"), "first")
+    best = grouped.groupBy("g1", "g2").agg(F.min("first").alias("best"))
+    kept = grouped.join(best, ["g1", "g2"]).select("h1", "h2", "best")
+    gone = found.select("h1", "h2", here.alias("here")).join(kept, ["h1", "h2"]).filter("here != best")
+    return gone.groupBy("here.d", "here.t").agg(F.collect_set("here.place").alias("places"))
+
+
+def dedup(docs: DataFrame, similarity: float = SIMILARITY, bits: int = common.FILTER_BITS,
+          limit: int = common.FILTER_LIMIT) -> DataFrame:
+    """``docs`` without the lines that are not the first of their group, with n_lines and n_removed."""
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    docs = common.without(docs, *_OUT)
+    texts = docs.filter(F.col("text").isNotNull()).select(*_document(), "text")
+    with common.Scratch(spark) as scratch:
+        shared = scratch.stored(_shared_keys(texts), "line-keys")
+        words = spark.sparkContext.broadcast(common.filter_of(shared.select(F.col("key").alias("fp")), bits, limit).words)
+        found = scratch.stored(_found_lines(texts, words), "lines")
+        gone = scratch.keep(scratch.stored(_gone(found, links(found, shared, similarity, scratch)), "line-gone"))
+        named = gone.select(F.xxhash64("d", "t").alias("fp"))
+        touched = spark.sparkContext.broadcast(common.filter_of(named, bits, limit).words)
+
+    @F.pandas_udf("boolean")
+    def may_change(x):
+        import pandas as pd
+
+        return pd.Series(common.Filter(touched.value).has(x.to_numpy().view(np.uint64)))
+
+    # Documents that lose nothing are not shuffled.
+    d, t = _document()
+    name = common.unused(docs, "document")
+    marked = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias(name), d, t)
+    marked = marked.withColumn("changes", F.col(f"{name}.text").isNotNull() & may_change(F.xxhash64("d", "t")))
+    changed = marked.filter("changes").join(gone, ["d", "t"], "left").select(name, "places")
+    same = marked.filter("not changes").select(name, F.lit(None).cast("array<int>").alias("places"))
+    parts = F.split(F.col(f"{name}.text"), "\n")
+    kept = F.when(F.col("places").isNull(), F.col(f"{name}.text")).otherwise(F.array_join(
+        F.filter(parts, lambda x, i: ~F.array_contains("places", i)), "\n"))
+    return changed.union(same).select(
+        *[kept.alias(c) if c == "text" else F.col(name)[c].alias(c) for c in docs.columns],
         F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+        F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"))
