@@ -53,6 +53,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns is written and read again as the next one's documents."""
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+    with common.Scratch(spark) as scratch:
+        for name, stage in STAGES:
+            before = docs
+            with common.reading(spark):
+                docs = scratch.stored(stage(spark, before, sf_dir), name.replace(" ", "-"))
+            if stage is not STAGES[0][1]:
+                scratch.drop(before)
+        return scratch.keep(docs)
