@@ -1,9 +1,8 @@
 """Series: searching, making, linking, renaming, merging and moving.
 
 Series names need not be unique; a lookup by name takes the smallest id. Links are
-unique pairs. A batch of edits has the effect of applying it in ``seq`` order; an
-edit that depends on another one of its batch comes back as ``deferred`` and goes
-into the next batch, so one round of joins is always exact.
+unique pairs. A batch of edits has the effect of applying it one by one in ``seq``
+order, however the edits depend on each other.
 """
 
 from __future__ import annotations
@@ -108,95 +107,90 @@ class Edited:
     outcome: DataFrame
 
 
+_NEVER, _ALWAYS = 2**63 - 1, -(2**63)
+
+
 def rename_or_merge(series: DataFrame, links: DataFrame, requests: DataFrame) -> Edited:
     """Give series new names; a name that another series holds merges into that one.
 
-    Requests: ``series_id, name, at, seq``. Status: ``renamed``, ``merged``, ``unchanged``,
-    ``deferred`` or ``not_found``.
+    Requests: ``series_id, name, at, seq``, with ``seq`` unique. Status: ``renamed``, ``merged`` (into ``target``), ``unchanged``, or
+    ``not_found`` for a series that does not exist, or no longer does.
+
+    What an edit does follows from who holds its name just then, which follows from the edits before it. All are judged
+    at once, at first as if every one were a rename, then again with what that makes of them, until nothing
+    changes. Each turn settles at least the next edit in order, and then stays; a chain of renames needs no turns of
+    its own, only a merge that changes what a later edit meets does.
     """
-    known = series.select(F.col("id").alias("series_id"), F.col("name").alias("old_name"), F.lit(True).alias("known"))
+    known = series.select(F.col("id").alias("series_id"), F.lit(True).alias("known"))
     asked = requests.select("series_id", "name", "at", "seq").join(known, "series_id", "left")
-    live = asked.filter("known").drop("known")
-    holders = _by_name(series).withColumnRenamed("series_id", "holder")
-    openers = (
-        live.join(holders, "name", "left_anti").groupBy("name")
-        .agg(F.min("seq").alias("opens_at"), F.min_by("series_id", "seq").alias("opener")))
-    aimed = (
-        live.join(holders, "name", "left").join(openers, "name", "left")
-        .withColumn("target", F.coalesce("holder", "opener"))
-        .withColumn("opening", F.col("holder").isNull() & (F.col("seq") == F.col("opens_at")))
-        .withColumn("same", F.col("holder").eqNullSafe(F.col("series_id"))))
-
-    # Per series: its first two real edits, and the first edit of another series that aims at it.
-    real = aimed.filter(~F.col("same"))
-    firsts = real.groupBy("series_id").agg(F.min("seq").alias("first_seq"))
-    seconds = (
-        real.join(firsts, "series_id").filter(F.col("seq") > F.col("first_seq"))
-        .groupBy("series_id").agg(F.min("seq").alias("second_seq")))
-    own = firsts.join(seconds, "series_id", "left")
-    aims = (
-        real.filter(F.col("target") != F.col("series_id"))
-        .groupBy(F.col("target").alias("series_id")).agg(F.min("seq").alias("aimed_seq")))
-    flagged = aimed.join(own, "series_id", "left").join(aims, "series_id", "left")
-    flagged = flagged.withColumn("first", F.coalesce("first_seq", "seq") >= F.col("seq"))
-    # A series that others merged into before may be renamed, but not merged away in the same round.
-    flagged = flagged.withColumn("free", F.col("first") & (F.coalesce("aimed_seq", "seq") >= F.col("seq")))
-
-    opened = flagged.filter("opening").select("name", F.col("first").alias("opener_first"))
-    other = own.select(F.col("series_id").alias("target"), F.col("first_seq").alias("t_first"),
-                       F.col("second_seq").alias("t_second"))
-    judged = flagged.join(opened, "name", "left").join(other, "target", "left")
-    into_holder = F.col("free") & (F.coalesce("t_first", F.col("seq") + 1) > F.col("seq"))
-    into_opener = F.col("free") & F.col("opener_first") & (F.col("t_first") == F.col("opens_at")) & (
-        F.coalesce("t_second", F.col("seq") + 1) > F.col("seq"))
-    status = (
-        F.when(F.col("same"), F.when(F.coalesce("first_seq", F.col("seq") + 1) > F.col("seq"), "unchanged")
-               .otherwise("deferred"))
-        .when(F.col("opening"), F.when(F.col("first"), "renamed").otherwise("deferred"))
-        .when(F.col("target") == F.col("series_id"), "deferred")
-        .when(F.when(F.col("holder").isNotNull(), into_holder).otherwise(into_opener), "merged")
-        .otherwise("deferred"))
-    touches = F.array_distinct(F.array(
-        F.concat(F.lit("s"), F.col("series_id").cast("string")), F.concat(F.lit("s"), F.col("target").cast("string")),
-        F.concat(F.lit("n"), F.col("name")), F.concat(F.lit("n"), F.col("old_name"))))
-    judged = _held_back(judged.select("series_id", "name", "at", "seq", "target", status.alias("status"), touches.alias("touches")))
-    judged = judged.select("series_id", "name", "at", "seq", "target", "status")
-
-    merged = judged.filter("status = 'merged'").select("series_id", F.col("target"))
-    renamed = judged.filter("status = 'renamed'").select(
-        F.col("series_id").alias("id"), F.col("name").alias("new_name"), "at")
+    live = asked.filter("known").select("seq", "series_id", "name", "at")
+    judged = cut(live.withColumn("status", F.lit("renamed")).withColumn("target", F.col("series_id")))
+    named = cut(series.select("id", "name").join(judged.select("name").distinct(), "name", "left_semi"))
+    while True:
+        again = cut(_judged(named, judged))
+        settled = again.filter("changed").isEmpty()
+        judged = again.drop("changed")
+        if settled:
+            break
+
+    merged = _followed(judged.filter("status = 'merged'").select("series_id", "target"))
+    renamed = judged.filter("status = 'renamed'").groupBy(F.col("series_id").alias("id")).agg(
+        F.max_by("name", "seq").alias("new_name"), F.max_by("at", "seq").alias("at"))
     kept = series.join(merged.select(F.col("series_id").alias("id")), "id", "left_anti").join(renamed, "id", "left")
     kept = kept.select(
         "id", F.coalesce("new_name", "name").alias("name"), "created_at",
         F.when(F.col("at").isNotNull(), F.col("at")).otherwise(F.col("modified_at")).alias("modified_at"))
     lost = asked.filter("known IS NULL").select(
-        "series_id", "name", "at", "seq", F.lit(None).cast(judged.schema["target"].dataType).alias("target"),
-        F.lit("not_found").alias("status"))
+        "series_id", "name", "at", "seq", F.lit("not_found").alias("status"),
+        F.lit(None).cast(judged.schema["target"].dataType).alias("target"))
     return Edited(kept, _repoint(links, merged), judged.unionByName(lost))
 
 
-def _held_back(judged: DataFrame, turns: int = 4) -> DataFrame:
-    """Defer as well what touches a series or name that an earlier deferred edit touches.
-
-    Each turn follows one more step of such dependencies; should any be left after the
-    last, everything from the first of them on waits for the next batch.
-    """
-    judged = cut(judged)
-    deferred = F.col("status") == "deferred"
-    for turn in range(turns):
-        held = judged.filter(deferred).select(F.explode("touches").alias("thing"), "seq").groupBy("thing").agg(
-            F.min("seq").alias("since"))
-        late = cut(
-            judged.filter(~deferred).select(F.explode("touches").alias("thing"), "seq").join(held, "thing")
-            .filter(F.col("seq") > F.col("since")).select("seq", F.lit(True).alias("late")).distinct())
-        first = late.agg(F.min("seq")).first()[0]
-        if first is None:
-            return judged
-        if turn == turns - 1:
-            return judged.withColumn("status", F.when(F.col("seq") >= first, "deferred").otherwise(F.col("status")))
-        judged = cut(judged.join(late, "seq", "left").withColumn(
-            "status", F.when(F.col("late"), "deferred").otherwise(F.col("status"))).drop("late"))
-    return judged
+def _judged(named: DataFrame, judged: DataFrame) -> DataFrame:
+    """The edits judged by the holders of names that their statuses so far lead to; ``changed`` where that differs."""
+    order = Window.partitionBy("series_id").orderBy("seq")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("series_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    gone = F.coalesce(F.max(F.col("status") == "merged").over(before), F.lit(False))
+    edits = judged.withColumn("gone", gone)
+    takes = ~F.col("gone") & F.col("status").isin("renamed", "merged")
+    # A name is held until the series' next edit that renames it or merges it away.
+    edits = edits.withColumn("takes", takes).withColumn(
+        "until", F.coalesce(F.last(F.when(F.col("takes"), F.col("seq")), ignorenulls=True).over(after), F.lit(_NEVER)))
+
+    # Who has a name from the start: of several series the least, then the least of those that still have it.
+    left = edits.filter("takes").groupBy(F.col("series_id").alias("id")).agg(F.min("seq").alias("until"))
+    first = named.join(left, "id", "left").withColumn("until", F.coalesce("until", F.lit(_NEVER)))
+    smaller = Window.partitionBy("name").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    first = first.withColumn("since", F.coalesce(F.max("until").over(smaller), F.lit(_ALWAYS))).filter("until > since")
+
+    held = F.struct(F.col("holder"), F.col("until"))
+    holders = first.select("name", "since", F.col("id").alias("holder"), "until").unionByName(
+        edits.filter("takes and status = 'renamed'").select("name", F.col("seq").alias("since"), F.col("series_id").alias("holder"), "until"))
+    events = holders.select("name", F.col("since").alias("time"), F.lit(1).alias("kind"), held.alias("held")).unionByName(
+        edits.select("name", F.col("seq").alias("time"), F.lit(0).alias("kind"), "seq", "series_id", "at", "status", "target", "gone"),
+        allowMissingColumns=True)
+    # An edit sees what began before it.
+    past = Window.partitionBy("name").orderBy("time", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = events.withColumn("met", F.last("held", ignorenulls=True).over(past)).filter("kind = 0")
+    holder = F.when(F.col("met.until") >= F.col("seq"), F.col("met.holder"))
+    met = met.withColumn("holder", holder).withColumn(
+        "new", F.when(F.col("gone"), "not_found").when(F.col("holder").isNull(), "renamed")
+        .when(F.col("holder") == F.col("series_id"), "unchanged").otherwise("merged"))
+    met = met.withColumn("new_target", F.when(~F.col("gone"), F.coalesce("holder", "series_id")))
+    return met.select(
+        "seq", "series_id", "name", "at", F.col("new").alias("status"), F.col("new_target").alias("target"),
+        (~F.col("new").eqNullSafe(F.col("status")) | ~F.col("new_target").eqNullSafe(F.col("target"))).alias("changed"))
+
+
+def _followed(moves: DataFrame) -> DataFrame:
+    """``series_id, target`` with the target followed to its end; every turn doubles the steps taken."""
+    moves = cut(moves)
+    while True:
+        on = moves.select(F.col("series_id").alias("target"), F.col("target").alias("further"))
+        if moves.join(on, "target", "left_semi").isEmpty():
+            return moves
+        moves = cut(moves.join(on, "target", "left").select("series_id", F.coalesce("further", "target").alias("target")))
 
 
 def _repoint(links: DataFrame, moves: DataFrame) -> DataFrame:
@@ -211,24 +205,40 @@ def _repoint(links: DataFrame, moves: DataFrame) -> DataFrame:
 def move_programs(series: DataFrame, links: DataFrame, requests: DataFrame) -> Edited:
     """Re-point single links to the series of a name, made if new.
 
-    Requests: ``program_id, series_id, name, at, seq``. Status: ``moved`` (also when the link was
-    not there), ``unchanged``, ``refused`` for an empty name, or ``deferred`` when an earlier request
-    of the batch concerns the same program.
+    Requests: ``program_id, series_id, name, at, seq``, with ``seq`` unique. Status: ``moved`` (also when the link was
+    not there), ``unchanged``, or ``refused`` for an empty name.
+
+    Where a link ends is found by following the moves: each one leads on to the next of its program that leaves the
+    series it went to.
     """
     text_links = links.select(
         F.col("program_id").cast("string").alias("program_id"), F.col("series_id").cast("string").alias("series_id"))
     asked = requests.select(
         F.col("program_id").cast("string").alias("program_id"), F.col("series_id").cast("string").alias("series_id"),
         F.coalesce("name", F.lit("")).alias("name"), "at", "seq")
-    firsts = asked.filter("name <> ''").groupBy("program_id").agg(F.min("seq").alias("first_seq"))
-    asked = asked.join(firsts, "program_id", "left").withColumn(
-        "status", F.when(F.col("name") == "", "refused").when(F.col("seq") > F.col("first_seq"), "deferred"))
-    # A deferred request makes its series all the same, so the first request for a name dates it.
     after, targets = get_or_create(series, asked.select("name", F.col("at").alias("created_at"), "seq"))
     judged = asked.join(targets.withColumnRenamed("series_id", "target"), "name", "left").withColumn(
-        "status", F.coalesce("status", F.when(F.col("target") == F.col("series_id"), "unchanged").otherwise("moved")))
-    moves = judged.filter("status = 'moved'").select("program_id", "series_id", "target")
-    return Edited(after, _repoint(text_links, moves), judged.drop("first_seq"))
+        "status", F.when(F.col("name") == "", "refused").when(F.col("target") == F.col("series_id"), "unchanged").otherwise("moved"))
+    judged = cut(judged)
+    moves = judged.filter("status = 'moved'")
+    return Edited(after, _repoint(text_links, _chained(moves)), judged)
+
+
+def _chained(moves: DataFrame) -> DataFrame:
+    """``program_id, series_id, target``: where each link that some move takes from its place ends."""
+    none = F.lit(None).cast("long")
+    leave = moves.select("program_id", F.col("series_id").alias("place"), F.col("seq").alias("time"), F.col("seq").alias("leaves"), none.alias("came"))
+    arrive = moves.select("program_id", F.col("target").alias("place"), F.col("seq").alias("time"), none.alias("leaves"), F.col("seq").alias("came"))
+    later = Window.partitionBy("program_id", "place").orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, -1)
+    onward = leave.unionByName(arrive).withColumn("next", F.last("leaves", ignorenulls=True).over(later)).filter("came is not null")
+    steps = cut(moves.select("seq", "target").join(onward.select(F.col("came").alias("seq"), "next"), "seq"))
+    while not steps.filter("next is not null").isEmpty():
+        ahead = steps.select(F.col("seq").alias("next"), F.col("target").alias("further"), F.col("next").alias("then"))
+        steps = cut(steps.join(ahead, "next", "left").select(
+            "seq", F.coalesce("further", "target").alias("target"), F.col("then").alias("next")))
+    first = leave.groupBy("program_id", "place").agg(F.min("leaves").alias("seq"))
+    ended = first.join(steps, "seq").select("program_id", F.col("place").alias("series_id"), "target")
+    return ended.filter("series_id <> target")
 
 
 def titles_of(names: DataFrame, overrides: DataFrame | None = None) -> DataFrame:

@@ -106,18 +106,35 @@ def _renames(s: Source) -> DataFrame:
     return s.series.select(F.col("id").alias("series_id"), new.alias("name"), _now().alias("at"), F.col("id").alias("seq"))
 
 
-_RENAMED = f""", asked AS (SELECT id, name AS old_name, CASE WHEN split_part(name, ' ', 1) = 'small' THEN 'large ' || split_part(name, ' ', 2)
+def _one_by_one(asked: str) -> str:
+    """The edits of ``asked`` (id, name, seq) one after the other: the rule as it reads. ``judged`` has the status of each, ``ended`` the
+    series that are left, and ``heads`` where each series' links are."""
+    return f"""asked AS ({asked}),
+ranked AS (SELECT *, row_number() OVER (ORDER BY seq) AS k FROM asked),
+steps AS (
+    SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS BIGINT) AS target,
+        (SELECT list({{'id': id, 'name': name, 'edited': false}}) FROM series) AS alive, (SELECT list({{'id': id, 'head': id}}) FROM series) AS heads
+    UNION ALL
+    SELECT k, id, name, status, CASE status WHEN 'merged' THEN holder WHEN 'not_found' THEN NULL ELSE id END,
+        CASE status WHEN 'renamed' THEN list_transform(alive, lambda x: CASE WHEN x.id = j.id THEN {{'id': x.id, 'name': j.name, 'edited': true}} ELSE x END)
+            WHEN 'merged' THEN list_filter(alive, lambda x: x.id <> j.id) ELSE alive END,
+        CASE status WHEN 'merged' THEN list_transform(heads, lambda x: CASE WHEN x.head = j.id THEN {{'id': x.id, 'head': j.holder}} ELSE x END) ELSE heads END
+    FROM (SELECT *, CASE WHEN NOT there THEN 'not_found' WHEN holder IS NULL THEN 'renamed' WHEN holder = id THEN 'unchanged' ELSE 'merged' END AS status
+        FROM (SELECT r.k, r.id, r.name, s.alive, s.heads, len(list_filter(s.alive, lambda x: x.id = r.id)) > 0 AS there,
+                list_min(list_transform(list_filter(s.alive, lambda x: x.name = r.name), lambda x: x.id)) AS holder
+            FROM steps s JOIN ranked r ON r.k = s.k + 1) i) j),
+judged AS (SELECT id, name, status, target FROM steps WHERE k > 0),
+last AS (SELECT * FROM steps QUALIFY row_number() OVER (ORDER BY k DESC) = 1),
+ended AS (SELECT unnest(alive) AS x FROM last),
+heads AS (SELECT unnest(heads) AS x FROM last)"""
+
+
+_ASKED = """SELECT id, CASE WHEN split_part(name, ' ', 1) = 'small' THEN 'large ' || split_part(name, ' ', 2)
     WHEN split_part(name, ' ', 1) = 'old' THEN 'vintage'
-    WHEN split_part(name, ' ', 2) = 'gizmo' THEN split_part(name, ' ', 1) || ' gadget' ELSE name END AS new_name FROM series),
-holder AS (SELECT name, min(id) AS id FROM series GROUP BY name),
-opener AS (SELECT new_name AS name, min(id) AS id FROM asked WHERE new_name NOT IN (SELECT name FROM series) GROUP BY new_name),
-moving AS (SELECT holder.id FROM asked JOIN holder ON holder.id = asked.id WHERE new_name <> old_name),
-judged AS (SELECT a.*, coalesce(h.id, o.id) AS target, CASE WHEN a.new_name = a.old_name THEN 'unchanged'
-    WHEN o.id = a.id THEN 'renamed'
-    WHEN h.id IS NOT NULL AND EXISTS (SELECT 1 FROM asked b WHERE b.id = h.id AND b.new_name <> b.old_name AND b.id < a.id) THEN 'deferred'
-    WHEN EXISTS (SELECT 1 FROM asked b JOIN holder hb ON hb.name = b.new_name WHERE hb.id = a.id AND b.id < a.id AND b.id <> a.id) THEN 'deferred'
-    ELSE 'merged' END AS status
-    FROM asked a LEFT JOIN holder h ON h.name = a.new_name LEFT JOIN opener o ON o.name = a.new_name)"""
+    WHEN split_part(name, ' ', 2) = 'gizmo' THEN split_part(name, ' ', 1) || ' gadget' ELSE name END AS name, id AS seq FROM series"""
+_SERIES_AFTER = f"""SELECT s.id, e.x.name AS name, s.created_at, CASE WHEN e.x.edited THEN TIMESTAMP '{_NOW}' ELSE s.modified_at END AS modified_at
+FROM series s JOIN ended e ON e.x.id = s.id"""
+_LINKS_AFTER = "SELECT DISTINCT l.program_id, h.x.head AS series_id FROM program_series l JOIN heads h ON h.x.id = l.series_id"
 
 
 def series_rename(s: Source) -> DataFrame:
@@ -125,10 +142,7 @@ def series_rename(s: Source) -> DataFrame:
     return series.rename_or_merge(s.series, s.program_series, _renames(s)).series
 
 
-SERIES_RENAME = with_tables(f"""{_RENAMED}
-SELECT s.id, CASE WHEN j.status = 'renamed' THEN j.new_name ELSE s.name END AS name, s.created_at,
-    CASE WHEN j.status = 'renamed' THEN TIMESTAMP '{_NOW}' ELSE s.modified_at END AS modified_at
-FROM series s JOIN judged j ON j.id = s.id WHERE j.status <> 'merged'""", "series")
+SERIES_RENAME = with_tables(f", {_one_by_one(_ASKED)} {_SERIES_AFTER}", "series", recursive=True)
 
 
 def series_merge(s: Source) -> DataFrame:
@@ -136,16 +150,52 @@ def series_merge(s: Source) -> DataFrame:
     return series.rename_or_merge(s.series, s.program_series, _renames(s)).links
 
 
-SERIES_MERGE = with_tables(f"""{_RENAMED}
-SELECT DISTINCT l.program_id, CASE WHEN j.status = 'merged' THEN j.target ELSE l.series_id END AS series_id
-FROM program_series l JOIN judged j ON j.id = l.series_id""", "series", "program_series")
+SERIES_MERGE = with_tables(f", {_one_by_one(_ASKED)} {_LINKS_AFTER}", "series", "program_series", recursive=True)
 
 
 def series_rename_outcome(s: Source) -> DataFrame:
     return series.rename_or_merge(s.series, s.program_series, _renames(s)).outcome.select("series_id", "name", "status", "target")
 
 
-SERIES_RENAME_OUTCOME = with_tables(f"""{_RENAMED} SELECT id AS series_id, new_name AS name, status, target FROM judged""", "series")
+SERIES_RENAME_OUTCOME = with_tables(f", {_one_by_one(_ASKED)} SELECT id AS series_id, name, status, target FROM judged", "series", recursive=True)
+
+
+def _edits(s: Source) -> DataFrame:
+    """Many edits of each series in turn: parts give names, which are released, taken again, and asked for by others; some series do not exist."""
+    part = s.read("part")
+    name = (F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("part "), (F.col("p_partkey") % 40).cast("string")))
+            .when(F.col("p_size") % 3 == 1, F.concat_ws(" ", F.substring_index("p_name", " ", 1), F.lit("gadget")))
+            .otherwise(F.concat(F.lit("part "), F.col("p_partkey").cast("string"))))
+    return part.select((F.col("p_partkey") * 7 % 61).alias("series_id"), name.alias("name"), _now().alias("at"), F.col("p_partkey").alias("seq"))
+
+
+_ASKED_OFTEN = """SELECT p_partkey * 7 % 61 AS id, CASE WHEN p_size % 3 = 0 THEN 'part ' || (p_partkey % 40)
+    WHEN p_size % 3 = 1 THEN split_part(p_name, ' ', 1) || ' gadget' ELSE 'part ' || p_partkey END AS name, p_partkey AS seq FROM part"""
+
+
+def series_edits(s: Source) -> DataFrame:
+    """The series after a batch in which edits depend on each other."""
+    return series.rename_or_merge(s.series, s.program_series, _edits(s)).series
+
+
+SERIES_EDITS = with_tables(f", {_one_by_one(_ASKED_OFTEN)} {_SERIES_AFTER}", "series", recursive=True)
+
+
+def series_edits_links(s: Source) -> DataFrame:
+    """The links after it: merged series may have merged on."""
+    return series.rename_or_merge(s.series, s.program_series, _edits(s)).links
+
+
+SERIES_EDITS_LINKS = with_tables(f", {_one_by_one(_ASKED_OFTEN)} {_LINKS_AFTER}", "series", "program_series", recursive=True)
+
+
+def series_edits_outcome(s: Source) -> DataFrame:
+    done = series.rename_or_merge(s.series, s.program_series, _edits(s)).outcome
+    return done.select("seq", "series_id", "name", "status", "target")
+
+
+SERIES_EDITS_OUTCOME = with_tables(f""", {_one_by_one(_ASKED_OFTEN)}
+SELECT r.seq, r.id AS series_id, r.name, s.status, s.target FROM ranked r JOIN steps s ON s.k = r.k""", "series", recursive=True)
 
 
 def _moves(s: Source) -> DataFrame:
@@ -187,6 +237,36 @@ UNION ALL SELECT target, name, TIMESTAMP '{_NOW}', TIMESTAMP '{_NOW}' FROM made
     "series", "program_series")
 
 
+def _move_chains(s: Source) -> DataFrame:
+    """Each program's line items move its links on from series to series, in order of their numbers."""
+    names = s.series.groupBy("name").agg(F.min("id").alias("id")).select("id", "name")
+    line = s.read("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.min("l_suppkey").alias("l_suppkey"), F.min("l_partkey").alias("l_partkey"))
+    line = line.select(
+        F.col("l_orderkey").alias("program_id"), (F.col("l_suppkey") % 12 + 1).cast("long").alias("series_id"),
+        (F.col("l_partkey") % 12 + 1).cast("long").alias("id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return line.join(names, "id").select("program_id", "series_id", "name", _now().alias("at"), "seq")
+
+
+def series_move_chain(s: Source) -> DataFrame:
+    """The links after several moves of each program, one leading on to the other."""
+    return series.move_programs(s.series, s.program_series, _move_chains(s)).links
+
+
+SERIES_MOVE_CHAIN = with_tables(""", named AS (SELECT min(id) AS id, name FROM series GROUP BY name),
+asked AS (SELECT l_orderkey AS program_id, l_suppkey % 12 + 1 AS source, n.id AS target,
+        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k
+    FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2)
+    JOIN named n ON n.id = l_partkey % 12 + 1),
+steps AS (
+    SELECT program_id, series_id AS origin, series_id AS place, CAST(0 AS BIGINT) AS k FROM program_series
+    UNION ALL
+    SELECT s.program_id, s.origin, CASE WHEN a.source = s.place THEN a.target ELSE s.place END, a.k
+    FROM steps s JOIN asked a ON a.program_id = s.program_id AND a.k = s.k + 1),
+ended AS (SELECT program_id, place FROM steps QUALIFY row_number() OVER (PARTITION BY program_id, origin ORDER BY k DESC) = 1)
+SELECT DISTINCT CAST(program_id AS VARCHAR) AS program_id, CAST(place AS VARCHAR) AS series_id FROM ended""", "series", "program_series", recursive=True)
+
+
 # ---- titles ----
 
 def _names(s: Source) -> DataFrame:
@@ -287,6 +367,10 @@ QUERIES = {
     "series_rename": (series_rename, SERIES_RENAME),
     "series_merge": (series_merge, SERIES_MERGE),
     "series_rename_outcome": (series_rename_outcome, SERIES_RENAME_OUTCOME),
+    "series_edits": (series_edits, SERIES_EDITS),
+    "series_edits_links": (series_edits_links, SERIES_EDITS_LINKS),
+    "series_edits_outcome": (series_edits_outcome, SERIES_EDITS_OUTCOME),
+    "series_move_chain": (series_move_chain, SERIES_MOVE_CHAIN),
     "series_move": (series_move, SERIES_MOVE),
     "series_move_series": (series_move_series, SERIES_MOVE_SERIES),
     "title_extract": (title_extract, TITLE_EXTRACT),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from teleledger.functions import clock
 from teleledger.plans.queries_ingest import _LATE, _fold, sightings
 from teleledger.plans.tables import Source, with_tables
-from teleledger.session import checkpoint_root
+from teleledger.session import checkpoint_root, cut
 from teleledger.streaming import player, programs
 
 
@@ -108,8 +108,32 @@ def stream_program_changes(s: Source) -> DataFrame:
     instants = wall.select(
         "event_id", "service_id", "duration", "seq",
         *[F.timestamp_micros(clock.epoch_micros(F.col(c), True)).alias(c) for c in ("start_time", "viewed_time", "created_at")])
-    # Wide enough for everything in the feed: then the stream and the batch agree.
-    out = _run(s, programs.program_changes(instants, keep_hours=24 * 366), "append")
+    out = _run(s, programs.program_changes(instants), "append")
+    return out.select("event_id", "seq", "program_id")
+
+
+def _in_batches(s: Source, rows: DataFrame, batches: int = 3) -> DataFrame:
+    """The rows as a stream of several micro-batches, in order of ``seq``."""
+    folder = f"{checkpoint_root(s.spark)}/feed-{uuid.uuid4().hex}"
+    ends = rows.approxQuantile("seq", [k / batches for k in range(1, batches)], 0.0)
+    place = sum([(F.col("seq") > end).cast("int") for end in ends], F.lit(0))
+    placed = cut(rows.withColumn("place", place))
+    for k in range(batches):
+        placed.filter(F.col("place") == k).drop("place").coalesce(1).write.mode("append").parquet(folder)
+    return s.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _instants(wall: DataFrame) -> DataFrame:
+    times = [F.timestamp_micros(clock.epoch_micros(F.col(c), True)).alias(c) for c in ("start_time", "viewed_time", "created_at")]
+    return wall.select("event_id", "service_id", "duration", F.col("seq").cast("long").alias("seq"), *times)
+
+
+def stream_program_changes_seeded(s: Source) -> DataFrame:
+    """The same in three micro-batches, the state begun with the stored programs: rows hours late, and starts far ahead."""
+    s.spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    feed = _in_batches(s, _instants(sightings(s, late=True)))
+    out = _run(s, programs.program_changes(feed, s.programs), "append")
     return out.select("event_id", "seq", "program_id")
 
 
@@ -126,10 +150,14 @@ class Streamed(Source):
 STREAM_PROGRAM_CHANGES = with_tables(f""", {_fold(_LATE, 'SELECT * FROM programs WHERE false')}
 SELECT event_id, seq, matched AS program_id FROM steps WHERE k > 0""", "programs", recursive=True)
 
+STREAM_PROGRAM_CHANGES_SEEDED = with_tables(f""", {_fold(_LATE, 'SELECT * FROM programs')}
+SELECT event_id, seq, matched AS program_id FROM steps WHERE k > 0""", "programs", recursive=True)
+
 QUERIES = {
     "status_to_view": (status_to_view, STATUS_TO_VIEW),
     "status_rejected": (status_rejected, STATUS_REJECTED),
     "stream_status_to_view": (stream_status_to_view, STREAM_STATUS_TO_VIEW),
     "stream_watched_windows": (stream_watched_windows, STREAM_WATCHED_WINDOWS),
     "stream_program_changes": (stream_program_changes, STREAM_PROGRAM_CHANGES),
+    "stream_program_changes_seeded": (stream_program_changes_seeded, STREAM_PROGRAM_CHANGES_SEEDED),
 }

@@ -10,35 +10,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from teleledger.functions import ids
+from teleledger.functions import clock, ids
 from teleledger.operators.upsert import REACH
 
 _L, _S = T.LongType(), T.StringType()
 
 STATE = T.StructType([
     T.StructField("head", _L), T.StructField("head_start", _L), T.StructField("start", _L),
-    T.StructField("duration", _L), T.StructField("created", _L)])
+    T.StructField("duration", _L), T.StructField("created", _L), T.StructField("stored_id", _S)])
 
 CHANGE = T.StructType([
     T.StructField("event_id", _L), T.StructField("service_id", _L), T.StructField("seq", _L),
     T.StructField("head", _L), T.StructField("head_start", _L), T.StructField("action", _S),
-    T.StructField("duration", _L)])
+    T.StructField("duration", _L), T.StructField("stored_id", _S)])
 
 
 class OpenPrograms(StatefulProcessor):
-    """Keeps per key the programs that later arrivals can still match.
-
-    ``keep`` bounds the state: a program that starts more than that before the latest
-    start seen for its key is dropped. An arrival later than ``keep`` less the twelve
-    hours' reach would open a new program instead of finding the old one.
+    """Keeps per key all its programs, so a row that comes however late finds the one it belongs to, and a start that lies far
+    ahead displaces none. As two programs of a key lie over twelve hours apart, their number is bounded by the calendar,
+    not by the arrivals; it is that of the key's rows in the programs table, which the state begins with.
     """
 
-    def __init__(self, keep: int) -> None:
-        self.keep = keep
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getListState("open", STATE)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timer_values) -> None:
+        # Of stored programs with one start the smallest id is met.
+        rows = initialState.sort_values(["start_us", "stored_id"])
+        self.open.appendList([(None, None, start, duration, created, stored) for start, duration, created, stored in zip(
+            *(rows[c].tolist() for c in ("start_us", "duration", "created_us", "stored_id")))])
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         programs = [list(r) for r in self.open.get()] if self.open.exists() else []
         # Rows of one micro-batch come in no order; the arrival number restores it.
@@ -49,7 +50,7 @@ class OpenPrograms(StatefulProcessor):
             near = [p for p in programs if abs(p[2] - start) <= REACH]
             match = max(near, key=lambda p: p[2], default=None)
             if match is None:
-                match, action = [seq, start, start, duration, created], "insert"
+                match, action = [seq, start, start, duration, created, None], "insert"
                 programs.append(match)
             elif start > match[2]:
                 match[2:4], action = [start, duration], "move"
@@ -57,26 +58,33 @@ class OpenPrograms(StatefulProcessor):
                 match[3], action = duration, "duration"
             else:
                 action = "none"
-            out.append((key[0], key[1], seq, match[0], match[1], action, match[3]))
-        newest = max(p[2] for p in programs)
-        self.open.put([tuple(p) for p in programs if p[2] >= newest - self.keep])
-        yield pd.DataFrame(out, columns=CHANGE.names)
+            out.append((key[0], key[1], seq, match[0], match[1], action, match[3], match[5]))
+        self.open.put([tuple(p) for p in programs])
+        made = pd.DataFrame(out, columns=CHANGE.names)
+        # Programs that were stored have no first arrival.
+        yield made.astype({"head": "Int64", "head_start": "Int64"})
 
     def close(self) -> None:
         pass
 
 
-def program_changes(arrivals: DataFrame, keep_hours: int = 48) -> DataFrame:
+def program_changes(arrivals: DataFrame, programs: DataFrame | None = None) -> DataFrame:
     """What each arrival does: ``program_id``, ``action`` (insert, move, duration, none) and the duration after it.
 
     Arrivals: ``event_id, service_id, start_time, duration, viewed_time, created_at, seq``, times as
-    instants. State lives in the RocksDB store, keyed by event and service.
+    instants, each micro-batch later in ``seq`` than the one before. ``programs``: the stored table, which the state begins with when
+    the stream is started for the first time. State lives in the RocksDB store, keyed by event and service.
     """
     slim = arrivals.select(
         "event_id", "service_id", "seq", "duration", F.unix_micros("start_time").alias("start_us"),
         F.unix_micros("viewed_time").alias("viewed_us"), F.unix_micros("created_at").alias("created_us"))
+    stored = None
+    if programs is not None:
+        micros = lambda name: clock.epoch_micros(F.col(name), clock.is_wall_clock(programs, name))
+        stored = programs.select(
+            "event_id", "service_id", micros("start_time").alias("start_us"), "duration", micros("created_at").alias("created_us"),
+            F.col("id").cast("string").alias("stored_id")).groupBy("event_id", "service_id")
     changes = slim.groupBy("event_id", "service_id").transformWithStateInPandas(
-        statefulProcessor=OpenPrograms(keep_hours * 3_600_000_000), outputStructType=CHANGE,
-        outputMode="append", timeMode="none")
-    return changes.withColumn(
-        "program_id", ids.minted(F.col("event_id"), F.col("service_id"), F.col("head_start"), F.col("head")))
+        statefulProcessor=OpenPrograms(), outputStructType=CHANGE, outputMode="append", timeMode="none", initialState=stored)
+    return changes.withColumn("program_id", F.coalesce("stored_id", ids.minted(
+        F.col("event_id"), F.col("service_id"), F.col("head_start"), F.col("head")))).drop("stored_id")

@@ -82,34 +82,46 @@ def edit_one(names: dict[int, str], links: set, id: int, name: str) -> None:
     names.pop(id, None)
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(4))
 def test_edits_equal_one_by_one(spark, make, seed):
-    """Rounds of deferred edits end where single edits in order end."""
+    """A whole batch, names released and taken again, merges into merged series, equal names at the start."""
     rng = random.Random(seed)
-    names = {i: f"n{i}" for i in range(1, 13)}
+    names = {i: f"n{i % 9}" for i in range(1, 13)}
     links = {(rng.randrange(6), s) for s in names for _ in range(2)}
-    edits = [(rng.choice([*names, 99]), rng.choice(["n1", "n2", "n3", "n7", "x", "y", "z"]), NOW, seq) for seq in range(14)]
-    table, linked = make("series", rows(names)), make("program_series", pairs(sorted(links)))
-    open_ = spark.createDataFrame(edits, EDIT)
-    statuses = []
-    for _ in range(20):
-        done = series.rename_or_merge(table, linked, open_)
-        outcome = done.outcome.collect()
-        statuses += [r.status for r in outcome if r.status != "deferred"]
-        table = spark.createDataFrame(done.series.collect(), done.series.schema)
-        linked = spark.createDataFrame(done.links.collect(), done.links.schema)
-        left = [(r.series_id, r.name, r["at"], r.seq) for r in outcome if r.status == "deferred"]
-        if not left:
-            break
-        open_ = spark.createDataFrame(left, EDIT)
-    assert len(statuses) == len(edits)
-    for id, name, _, _ in edits:
+    edits = [(rng.choice([*names, 99]), rng.choice(["n1", "n2", "n3", "n7", "x", "y", "z"]), NOW, 10 * seq) for seq in range(30)]
+    done = series.rename_or_merge(make("series", rows(names)), make("program_series", pairs(sorted(links))),
+                                  spark.createDataFrame(edits[::-1], EDIT))
+    outcome = {r.seq: r for r in done.outcome.collect()}
+    assert len(outcome) == len(edits)
+    for id, name, _, seq in edits:
+        holder = min((i for i, n in names.items() if n == name), default=None)
+        want = ("not_found", None) if id not in names else ("renamed", id) if holder is None else (
+            ("unchanged", id) if holder == id else ("merged", holder))
+        assert (outcome[seq].status, outcome[seq].target) == want, seq
         edit_one(names, links, id, name)
-    assert {r.id: r.name for r in table.collect()} == names
-    got = [tuple(r) for r in linked.collect()]
+    assert {r.id: r.name for r in done.series.collect()} == names
+    got = [tuple(r) for r in done.links.collect()]
     assert len(got) == len(set(got)) and set(got) == links
 
 
+def test_edits_of_nothing(spark, make):
+    table, links = make("series", rows({1: "a"})), make("program_series", pairs([(1, 1)]))
+    done = series.rename_or_merge(table, links, spark.createDataFrame([], EDIT))
+    assert [r.name for r in done.series.collect()] == ["a"] and done.links.count() == 1 and done.outcome.count() == 0
+
+
+def test_long_chain_of_renames_needs_few_turns(spark, make, monkeypatch):
+    """One series takes a hundred names, each of which another then asks for."""
+    turns = []
+    judged = series._judged
+    monkeypatch.setattr(series, "_judged", lambda *x: turns.append(1) or judged(*x))
+    edits = [(1, f"x{k}", NOW, 2 * k) for k in range(100)] + [(2, f"x{k}", NOW, 2 * k + 3) for k in range(99)] + [(3, "x99", NOW, 1000)]
+    done = series.rename_or_merge(make("series", rows({1: "a", 2: "b", 3: "c"})), make("program_series", pairs([(7, 3)])),
+                                  spark.createDataFrame(edits, EDIT))
+    assert {r.id: r.name for r in done.series.collect()} == {1: "x99", 2: "x98"}
+    assert [tuple(r) for r in done.links.collect()] == [(7, 1)] and len(turns) <= 4
+
+
 def test_move(spark, make):
     table = make("series", rows({1: "a", 2: "b"}))
     links = make("program_series", pairs([(1, 1), (1, 2), (2, 1), (3, 1)]))
@@ -117,10 +129,27 @@ def test_move(spark, make):
         [(1, 1, "b", NOW, 1), (1, 2, "c", NOW, 2), (2, 1, "new", NOW, 3), (3, 1, "a", NOW, 4), (3, 2, "", NOW, 0)],
         "program_id long, series_id long, name string, at timestamp_ntz, seq long")
     done = series.move_programs(table, links, asked)
-    assert {r.seq: r.status for r in done.outcome.collect()} == {0: "refused", 1: "moved", 2: "deferred", 3: "moved", 4: "unchanged"}
-    new = done.series.filter("name = 'new'").first().id
-    assert sorted(tuple(r) for r in done.links.collect()) == sorted([("1", "2"), ("2", new), ("3", "1")])
-    assert done.series.count() == 4
+    assert {r.seq: r.status for r in done.outcome.collect()} == {0: "refused", 1: "moved", 2: "moved", 3: "moved", 4: "unchanged"}
+    made = {r.name: r.id for r in done.series.collect()}
+    assert sorted(tuple(r) for r in done.links.collect()) == sorted([("1", made["c"]), ("2", made["new"]), ("3", "1")])
+    assert len(made) == 4
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_moves_equal_one_by_one(spark, make, seed):
+    rng = random.Random(seed)
+    names = {i: f"n{i}" for i in range(1, 6)}
+    links = {(rng.randrange(4), rng.choice([*names])) for _ in range(9)}
+    table, linked = make("series", rows(names)), make("program_series", pairs(sorted(links)))
+    edits = [(rng.randrange(4), rng.choice([*names]), rng.choice([*names.values(), ""]), NOW, seq) for seq in range(40)]
+    done = series.move_programs(table, linked, spark.createDataFrame(
+        edits[::-1], "program_id long, series_id long, name string, at timestamp_ntz, seq long"))
+    ids = {n: i for i, n in names.items()}
+    for program_id, series_id, name, _, _ in edits:
+        if name and (program_id, series_id) in links:
+            links = links - {(program_id, series_id)} | {(program_id, ids[name])}
+    got = sorted((int(r.program_id), int(r.series_id)) for r in done.links.collect())
+    assert got == sorted(links)
 
 
 def test_titles(spark, make):
