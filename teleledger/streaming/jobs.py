@@ -1,4 +1,8 @@
-"""Continuous jobs. Each micro-batch goes through the same operators as a batch job."""
+"""Continuous jobs. Each micro-batch goes through the same operators as a batch job, and lands in the tables as one commit each.
+
+A batch that runs again after a failure finds what it has committed. A job started with a new checkpoint folder goes on from
+the tables as they are.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from teleledger import schema
 from teleledger.functions import clock
 from teleledger.operators import commands, ingest, recordings
-from teleledger.sources import tables
+from teleledger.sources import commits, tables
 from teleledger.streaming.player import SAMPLE_TRIGGER
 
 
@@ -39,19 +44,37 @@ def rewrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def ingest_views(arrivals: DataFrame, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Resolve programs and append views per micro-batch.
+def _transaction(batch: DataFrame, number: int) -> commits.Transaction:
+    """Which stream (of which checkpoint folder), and which of its micro-batches."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId"), number
+
 
-    Batch ``n`` reads programs version ``n`` and writes version ``n + 1``; views go to a folder per
-    batch. A batch that runs again after a failure overwrites only its own output.
-    """
+def append_to_table(rows: DataFrame, root: str, name: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Append view or recording rows to the stored table. Equal rows are kept, as they are samples."""
+    id_type = rows.schema["program_id"].dataType
+    columns = [f.name for f in schema.TABLES[name](id_type).fields]
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        programs = tables.read_table(spark, root, "programs", version=number, id_type=T.StringType())
+        commits.append(batch.select(*columns), root, name, _transaction(batch, number), tables.base_of(spark, root, name))
+        commits.compact(spark, root, name, id_type)
+
+    return _start(rows, step, checkpoint, once)
+
+
+def ingest_views(arrivals: DataFrame, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Resolve programs and append views per micro-batch. Programs are committed first: should the batch run again, its arrivals
+    find them there and name the same ones."""
+    text_ids = T.StringType()
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark, txn = batch.sparkSession, _transaction(batch, number)
+        programs = tables.read_table(spark, root, "programs", id_type=text_ids)
         done = ingest.ingest_views(programs, batch)
-        tables.write_snapshot(done.upsert.apply(programs), root, "programs", number + 1, mode="overwrite")
-        rewrite(done.views, f"{root}/views_in/batch={number:010d}")
+        commits.merge(done.upsert.updated, done.upsert.inserted, root, "programs", txn, tables.base_of(spark, root, "programs"))
+        commits.append(done.views, root, "views", txn, tables.base_of(spark, root, "views"))
+        for name in ("programs", "views"):
+            commits.compact(spark, root, name, text_ids)
 
     return _start(arrivals, step, checkpoint, once)
 
@@ -60,12 +83,17 @@ def patches_to_commands(patches: DataFrame, root: str, out: str, checkpoint: str
     """Apply patches per micro-batch and emit the file commands that follow, with refused patches beside them."""
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        current = tables.read_table(spark, root, "recordings", version=number)
+        spark, (stream, _) = batch.sparkSession, _transaction(batch, number)
+        base = tables.base_of(spark, root, "recordings")
+        if base is not None and base.holds((stream, number)):
+            return
+        current = tables.read_table(spark, root, "recordings")
         after, judged = recordings.patch_recordings(current, batch)
-        tables.write_snapshot(after, root, "recordings", number + 1, mode="overwrite")
-        rewrite(commands.file_commands(judged).select("value"), f"{out}/commands/batch={number:010d}")
-        rewrite(judged.filter("status <> 200").select("id", "seq", "status"), f"{out}/refused/batch={number:010d}")
+        asked = judged.filter("status = 200").select("id").distinct()
+        # The commands first: a batch that fails before its commit judges the same rows again.
+        rewrite(commands.file_commands(judged).select("value"), f"{out}/commands/stream={stream}/batch={number:010d}")
+        rewrite(judged.filter("status <> 200").select("id", "seq", "status"), f"{out}/refused/stream={stream}/batch={number:010d}")
+        commits.merge(after.join(asked, "id", "left_semi").select(*current.columns), current.limit(0), root, "recordings", (stream, number), base)
 
     return _start(patches, step, checkpoint, once)
 

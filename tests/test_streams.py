@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from teleledger.operators import ingest, upsert
-from teleledger.sources import feeds, tables
+from teleledger.sources import commits, feeds, tables
 from teleledger.streaming import jobs, player, programs
 
 DAY = "2025-05-12 "
@@ -52,24 +52,30 @@ def instants(start: list[tuple]):
 def test_view_stream_equals_batch(spark, folder):
     first = [(1, 11, "a", "12:00", 1800, "12:05"), (2, 11, "a", "12:00", 1860, "12:10"), (3, 12, "b", "12:00", 600, "12:05")]
     second = [(4, 11, "a2", "12:10", 1800, "12:15"), (5, 12, "b", "11:50", 600, "12:20"), (6, 11, "a3", "12:10", 1900, "12:20")]
-    path = put(folder, "views", instants(first))
+    path = put(folder, "arrivals", instants(first))
     empty = spark.createDataFrame([], tables.schema.programs(T.StringType()))
     tables.write_snapshot(empty, folder, "programs", 0)
     for rows in (None, second):
         if rows:
-            put(folder, "views", instants(rows))
+            put(folder, "arrivals", instants(rows))
         jobs.ingest_views(feeds.view_arrivals(spark, path, stream=True), folder, f"{folder}/ck", once=True).awaitTermination()
     assert tables.latest_version(spark, folder, "programs") == 2
     streamed = tables.read_table(spark, folder, "programs", id_type=T.StringType())
     batch = ingest.ingest_views(empty, feeds.view_arrivals(spark, path)).upsert.apply(empty)
     columns = ["event_id", "name", "start_time", "duration", "created_at", "id"]
     assert sorted(map(tuple, streamed.select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect()))
-    assert spark.read.parquet(f"{folder}/views_in").count() == 6
+    assert tables.read_table(spark, folder, "views", id_type=T.StringType()).count() == 6
+    # A new checkpoint folder: all arrivals come again, nothing is lost, and programs are found, not made again.
+    jobs.ingest_views(feeds.view_arrivals(spark, path, stream=True), folder, f"{folder}/ck-new", once=True).awaitTermination()
+    seen = tables.read_table(spark, folder, "views", id_type=T.StringType())
+    assert seen.count() == 12
+    known = {r.id for r in tables.read_table(spark, folder, "programs", id_type=T.StringType()).collect()}
+    assert {r.program_id for r in seen.collect()} <= known
 
 
 def test_state_equals_batch(spark, folder):
     rows = [(s, 11 + s % 2, "a", f"{h:02d}:00", 600 + s % 3, f"{h:02d}:30") for s, h in enumerate([0, 10, 20, 0, 10, 21, 9, 23, 23, 1])]
-    path = put(folder, "views", instants(rows))
+    path = put(folder, "arrivals", instants(rows))
     flat = lambda df: df.select("program.*", "viewed_time", F.col("viewed_time").alias("created_at"), "seq")
     stream = programs.program_changes(flat(feeds.view_arrivals(spark, path, stream=True)))
     out = f"{folder}/changes"
@@ -83,6 +89,31 @@ def test_state_equals_batch(spark, folder):
     assert {r.action for r in got} >= {"insert", "move"}
 
 
+def test_seeded_state_equals_batch(spark, folder, make):
+    """Three micro-batches over stored programs: a start a year ahead, then rows of days before; each finds its program."""
+    stored = make("programs", [program(7, "2025-05-12 00:30", event_id=11, service_id=1), program(5, "2025-05-12 00:30", event_id=11, service_id=1),
+                               program(8, "2025-05-10 06:00", event_id=12, service_id=1)])
+    for c in ("start_time", "created_at"):
+        stored = stored.withColumn(c, F.to_timestamp(F.concat(F.col(c).cast("string"), F.lit("+09:00"))))
+    sent = lambda s, e, start, d: {"event_id": e, "service_id": 1, "start_time": start, "duration": d, "viewed_time": start, "created_at": start, "seq": s}
+    days = [[sent(1, 11, "2025-05-12T01:00:00+09:00", 1800), sent(2, 11, "2026-05-12T01:00:00+09:00", 1800), sent(3, 12, "2025-05-20T01:00:00+09:00", 60)],
+            [sent(4, 11, "2025-05-09T01:00:00+09:00", 600), sent(5, 12, "2025-05-10T05:00:00+09:00", 60)],
+            [sent(6, 11, "2025-05-09T02:00:00+09:00", 600), sent(7, 11, "2025-05-12T02:00:00+09:00", 900), sent(8, 12, "2025-05-20T01:00:00+09:00", 90)]]
+    path = ""
+    fields = "event_id long, service_id long, start_time timestamp, duration long, viewed_time timestamp, created_at timestamp, seq long"
+    out = f"{folder}/changes"
+    for rows in days:
+        path = put(folder, "seeded", rows)
+        stream = spark.readStream.schema(fields).json(path)
+        programs.program_changes(stream, stored).writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", f"{folder}/ck9").trigger(availableNow=True).start().awaitTermination()
+    batch = upsert.upsert_programs(stored, spark.read.schema(fields).json(path).withColumns({
+        c: F.lit("x") for c in ("name", "text", "ext_text", "genre")})).resolved
+    got = {r.seq: r.program_id for r in spark.read.parquet(out).collect()}
+    assert got == {r.seq: r.program_id for r in batch.collect()} and len(got) == 8
+    assert got[1] == got[7] == "5" and got[4] == got[6] and got[5] == "8" and got[3] == got[8]
+
+
 def test_patch_stream(spark, folder, make):
     tables.write_snapshot(make("recordings", [
         {"id": 1, "program_id": 1, "file_path": "//s/rec/a", "file_size": 1, "created_at": at(DAY + "12:00")},
@@ -139,6 +170,47 @@ def test_tables(spark, folder, make):
     assert tables.read_table(spark, folder, "program_series").collect() == links.collect()
 
 
+def test_commits(spark, folder, make):
+    fields = "program_id long, viewed_time timestamp, speed double, created_at timestamp"
+    row = lambda t: {"program_id": 1, "viewed_time": t, "speed": 1.0, "created_at": t}
+    path = put(folder, "v", [row("2025-05-12T03:05:00Z"), row("2025-05-12T03:05:00Z"), row("2025-05-12T16:00:00Z")])
+    run = lambda ck: jobs.append_to_table(spark.readStream.schema(fields).json(path), folder, "views", f"{folder}/{ck}", once=True).awaitTermination()
+    run("a")
+    put(folder, "v", [row("2025-05-14T03:05:00Z"), row(None)])
+    run("a")
+    assert tables.latest_version(spark, folder, "views") == 1 and tables.read_table(spark, folder, "views").count() == 5
+    assert tables.read_table(spark, folder, "views", version=0).count() == 3
+    # Whole days of Japan: 16:00Z is the next day there.
+    assert tables.read_table(spark, folder, "views", from_="2025-05-13").count() == 2
+    assert tables.read_table(spark, folder, "views", to="2025-05-12").count() == 3
+    assert len(tables.read_table(spark, folder, "views", from_="2025-05-14").inputFiles()) == 1
+    rows = spark.read.schema(fields).json(path)
+    before = commits.load(spark, folder, "views")
+    txn = (next(iter(before.done)), before.done[next(iter(before.done))])
+    assert commits.append(rows, folder, "views", txn) == before
+    run("b")
+    assert tables.read_table(spark, folder, "views").count() == 10
+    done = commits.compact(spark, folder, "views", T.LongType(), most=1)
+    assert all(len(x) == 1 for x in done.days.values()) and tables.read_table(spark, folder, "views").count() == 10
+
+
+def test_merge_writes_touched_days_only(spark, folder, make):
+    rows = make("programs", [program(i, f"2025-05-{12 + i} 00:30") for i in range(1, 4)])
+    for c in ("start_time", "created_at"):
+        rows = rows.withColumn(c, F.to_timestamp(F.concat(F.col(c).cast("string"), F.lit("+09:00"))))
+    tables.write_snapshot(rows, folder, "programs", 4)
+    moved = rows.filter("id = 2").withColumn("start_time", F.timestamp_add("DAY", F.lit(7), "start_time"))
+    made = rows.filter("id = 3").withColumn("id", F.lit(9).cast("long"))
+    done = commits.merge(moved, made, folder, "programs", None, tables.base_of(spark, folder, "programs"))
+    assert done.version == 5 and "2025-05-14" not in done.days and len(done.days["2025-05-15"]) == 2
+    assert done.days["2025-05-13"] == ["version=0000000004"]
+    read = tables.read_table(spark, folder, "programs")
+    assert sorted((r.id, r.name) for r in read.collect()) == [(1, "Program 1"), (2, "Program 2"), (3, "Program 3"), (9, "Program 3")]
+    assert tables.read_table(spark, folder, "programs", version=4).count() == 3
+    with pytest.raises(RuntimeError):
+        commits._publish(spark, folder, "programs", commits.Commit(5))
+
+
 def test_other_feeds(spark, folder):
     path = put(folder, "rec", [{"id": 1, "rec_file_path": "\\a.ts", "title": "t", "eid": 3, "sid": 4, "start_time_epg": "2025-05-12T12:00:00+09:00"}])
     assert feeds.recorder_info(spark, path).first().eid == 3
