@@ -6,12 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from teleledger import schema
 from teleledger.functions import clock
-from teleledger.plans.queries_ingest import _LATE, _fold, sightings
+from teleledger.plans.queries_ingest import _LATE, _VIEW_ARRIVALS, _fold, sightings, view_arrivals
 from teleledger.plans.tables import Source, with_tables
 from teleledger.session import checkpoint_root, cut
-from teleledger.streaming import player, programs
+from teleledger.sources import tables
+from teleledger.streaming import jobs, player, programs
 
 
 def status_lines(s: Source, events: DataFrame | None = None) -> DataFrame:
@@ -150,6 +153,102 @@ class Streamed(Source):
 STREAM_PROGRAM_CHANGES = with_tables(f""", {_fold(_LATE, 'SELECT * FROM programs WHERE false')}
 SELECT event_id, seq, matched AS program_id FROM steps WHERE k > 0""", "programs", recursive=True)
 
+# ---- stored tables, and streams that land in them ----
+
+_DAYS = {"programs": ("1995-02-01", "1996-01-31"), "recordings": ("1995-02-01", "1996-01-31"), "views": ("2024-01-05", "2024-01-20")}
+
+
+def _stored_form(df: DataFrame) -> DataFrame:
+    """Wall-clock times as the instants that stored tables hold."""
+    wall = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
+    return df.withColumns({c: F.timestamp_micros(clock.epoch_micros(F.col(c), True)) for c in wall})
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    """Times as microseconds, which have no zone."""
+    times = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)]
+    return df.withColumns({c: F.unix_micros(c) for c in times})
+
+
+def _scratch(s: Source, name: str) -> str:
+    return f"{checkpoint_root(s.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_KEPT = {"programs": ["id", "event_id", "service_id", "name", "start_time", "duration"],
+         "recordings": ["id", "program_id", "file_path", "file_size", "created_at"], "views": ["program_id", "viewed_time", "speed"],
+         "series": ["id", "name", "created_at"], "program_series": ["program_id", "series_id"]}
+
+
+def _read_back(s: Source, root: str, name: str, id_type: T.DataType | None = None) -> DataFrame:
+    days = dict(zip(("from_", "to"), _DAYS.get(name, ())))
+    return _shown(tables.read_table(s.spark, root, name, id_type=id_type or T.LongType(), **days).select(*_KEPT[name]))
+
+
+def _stored(name: str):
+    def build(s: Source) -> DataFrame:
+        root = _scratch(s, "tables")
+        tables.write_snapshot(_stored_form(getattr(s, name)), root, name, 1)
+        return _read_back(s, root, name)
+
+    build.__name__, build.__doc__ = f"stored_{name}", f"The {name} table written and read back, the days of a year of it if it has days."
+    return build
+
+
+def _kept_sql(name: str) -> str:
+    time = schema.PARTITION_TIME.get(name)
+    shown = ", ".join(f"epoch_us({c}) - 32400000000 AS {c}" if c.endswith("_time") or c.endswith("_at") else c for c in _KEPT[name])
+    days = f" WHERE CAST({time} AS DATE) BETWEEN DATE '{_DAYS[name][0]}' AND DATE '{_DAYS[name][1]}' + 1" if time else ""
+    return with_tables(f"SELECT {shown} FROM {name}{days}", name)
+
+
+def _landed(name: str, order: str, batches: int = 3):
+    def build(s: Source) -> DataFrame:
+        root = _scratch(s, "tables")
+        rows = _stored_form(getattr(s, name))
+        fields = schema.TABLES[name](rows.schema["program_id"].dataType)
+        feed = _in_batches(s, rows.withColumn("seq", F.col(order).cast("long")), batches)
+        jobs.append_to_table(feed.select(*fields.names), root, name, f"{root}/state", once=True).awaitTermination()
+        return _read_back(s, root, name)
+
+    build.__name__, build.__doc__ = f"stream_{name}_landed", f"The {name} appended by a stream of {batches} micro-batches, and read back from the table."
+    return build
+
+
+def _view_job(s: Source) -> str:
+    """The view arrivals as a stream in three micro-batches; the tables begin with nothing."""
+    root = _scratch(s, "tables")
+    arrivals = view_arrivals(s)
+    start = F.timestamp_micros(clock.epoch_micros(F.col("program.start_time"), True))
+    arrivals = _stored_form(arrivals.withColumn("program", F.col("program").withField("start_time", start)))
+    feed = _in_batches(s, arrivals.withColumn("seq", F.col("seq").cast("long")))
+    jobs.ingest_views(feed, root, f"{root}/state", once=True).awaitTermination()
+    return root
+
+
+def stream_view_ingest(s: Source) -> DataFrame:
+    """The views that the job appended."""
+    views = tables.read_table(s.spark, _view_job(s), "views", id_type=T.StringType())
+    return _shown(views.select("program_id", "viewed_time", "speed"))
+
+
+STREAM_VIEW_INGEST = with_tables(f""", {_fold(_VIEW_ARRIVALS, 'SELECT * FROM programs WHERE false')}
+SELECT s.matched AS program_id, epoch_us(a.viewed_time) - 32400000000 AS viewed_time, a.speed
+FROM steps s JOIN arrivals a ON a.seq = s.seq WHERE s.k > 0""", "programs", recursive=True)
+
+
+def stream_view_ingest_programs(s: Source) -> DataFrame:
+    """The programs after the same job."""
+    programs_ = tables.read_table(s.spark, _view_job(s), "programs", id_type=T.StringType())
+    return _shown(programs_.select("id", "event_id", "service_id", "name", "start_time", "duration", "genre", "created_at"))
+
+
+_NEW = """SELECT r.id AS id, event_id, service_id, r.name AS name, r.start AS start_time, r.dur AS duration, r.genre AS genre,
+    r.created AS created_at FROM final"""
+
+STREAM_VIEW_INGEST_PROGRAMS = with_tables(f""", {_fold(_VIEW_ARRIVALS, 'SELECT * FROM programs WHERE false')}
+SELECT id, event_id, service_id, name, epoch_us(start_time) - 32400000000 AS start_time, duration, genre,
+    epoch_us(created_at) - 32400000000 AS created_at FROM ({_NEW})""", "programs", recursive=True)
+
 STREAM_PROGRAM_CHANGES_SEEDED = with_tables(f""", {_fold(_LATE, 'SELECT * FROM programs')}
 SELECT event_id, seq, matched AS program_id FROM steps WHERE k > 0""", "programs", recursive=True)
 
@@ -160,4 +259,9 @@ QUERIES = {
     "stream_watched_windows": (stream_watched_windows, STREAM_WATCHED_WINDOWS),
     "stream_program_changes": (stream_program_changes, STREAM_PROGRAM_CHANGES),
     "stream_program_changes_seeded": (stream_program_changes_seeded, STREAM_PROGRAM_CHANGES_SEEDED),
+    **{f"stored_{name}": (_stored(name), _kept_sql(name)) for name in _KEPT},
+    "stream_views_landed": (_landed("views", "program_id"), _kept_sql("views")),
+    "stream_recordings_landed": (_landed("recordings", "id", 2), _kept_sql("recordings")),
+    "stream_view_ingest": (stream_view_ingest, STREAM_VIEW_INGEST),
+    "stream_view_ingest_programs": (stream_view_ingest_programs, STREAM_VIEW_INGEST_PROGRAMS),
 }

@@ -69,9 +69,10 @@ def ingest_views(arrivals: DataFrame, root: str, checkpoint: str, once: bool = F
 
     def step(batch: DataFrame, number: int) -> None:
         spark, txn = batch.sparkSession, _transaction(batch, number)
-        programs = tables.read_table(spark, root, "programs", id_type=text_ids)
+        base = tables.base_of(spark, root, "programs")
+        programs = commits.read(spark, root, "programs", base or commits.Commit(-1), text_ids)
         done = ingest.ingest_views(programs, batch)
-        commits.merge(done.upsert.updated, done.upsert.inserted, root, "programs", txn, tables.base_of(spark, root, "programs"))
+        commits.merge(done.upsert.updated, done.upsert.inserted, root, "programs", txn, base)
         commits.append(done.views, root, "views", txn, tables.base_of(spark, root, "views"))
         for name in ("programs", "views"):
             commits.compact(spark, root, name, text_ids)
