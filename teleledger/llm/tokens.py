@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces remembered by a worker; beyond it the memory starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 _TAIL = frozenset(".,;:!?")
 _JOINED = 400
 
@@ -75,11 +75,11 @@ class ByteEncoder(Encoder):
         need: set[str] = set()
         for pieces in split:
             need.update(pieces)
-        need = {p for p in need if p not in known}
+        need = need.difference(known)
         tailed = [p for p in need if p and p[-1] in _TAIL and p[-2:-1].isalpha()]
         base = need.difference(tailed)
         base.update(p[:-1] for p in tailed)
-        base = {p for p in base if p not in known}
+        base = base.difference(known)
         odd = [p for p in base if not p or any(map(str.isspace, p))]
         known.update(zip(odd, self._plain([" " + p for p in odd])))
         plain = list(base.difference(odd))
@@ -108,7 +108,7 @@ class WordEncoder(Encoder):
         need: set[bytes] = set()
         for words in split:
             need.update(words)
-        need = {w for w in need if w not in known}
+        need = need.difference(known)
         tailed = [w for w in need if w[-1:] in self.tails and w[-2:-1].isalpha()]
         base = need.difference(tailed)
         base.update(w[:-1] for w in tailed)
