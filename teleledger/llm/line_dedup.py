@@ -31,7 +31,7 @@ from teleledger.llm import common
 MIN_WORDS, BLOCK_WORDS, KEY_WORDS, FEW = 5, 4, 5, 5
 SIMILARITY = 0.8
 #: Characters that a task works on at once; a longer text is one part.
-PART = 1 << 20
+PART = 1 << 19
 _OUT = ("n_lines", "n_removed")
 _LOWEST = -(2**63)
 _PLAIN = bytes(c if chr(c).isalnum() or c > 127 or c == 10 else 32 for c in range(256)).translate(
