@@ -34,14 +34,14 @@ from teleledger.llm import common
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bytes of text that a task works on at once.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ALL = 2**64 - 1
 _COUNTS = "fp long, f long"
 _FOUND = "lang string, size int, phrase string, f long, doc_id long, word long"
 _NO_DOC = -(2**63)
 #: Rows that a task sums before it sends them on; shares for each partition; shares of a language that are ranked by themselves.
-_HELD_ROWS, _SHARES, _RANKED = 1 << 19, 8, 128
+_HELD_ROWS, _SHARES, _RANKED = 1 << 18, 8, 128
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: 0: part of a word, 1: between words, 2: between pieces.
@@ -233,6 +233,8 @@ def _summed(tables: list[pa.Table]) -> pa.Table:
     """One row for each text, with the least pointer."""
     whole = pa.concat_tables(tables).sort_by([("doc_id", "ascending"), ("word", "ascending")])
     out = whole.group_by(["lang", "size", "phrase", "fp"], use_threads=False).aggregate([("f", "sum"), ("doc_id", "first"), ("word", "first")])
+    del whole
+    pa.default_memory_pool().release_unused()
     return out.rename_columns(["lang", "size", "phrase", "fp", "f", "doc_id", "word"])
 
 
@@ -261,7 +263,7 @@ def frequent_phrases(docs: DataFrame, scratch: common.Scratch, least: int = LEAS
             held_tables += _phrases(b, known(), longest)
             if sum(len(x) for x in held_tables) > _HELD_ROWS:
                 held_tables = [_summed(held_tables)]
-                if len(held_tables[0]) > _HELD_ROWS // 2:
+                if len(held_tables[0]) > _HELD_ROWS * 3 // 4:
                     yield _packed(held_tables, shares)
                     held_tables = []
         if held_tables:
