@@ -202,6 +202,57 @@ def test_mined_rules(spark):
     assert got[900].verdict == "block" and got[901].verdict == "allow"
 
 
+def _plain_rules(baskets, least, confidence, lift):
+    """Every set of tokens, judged one by one."""
+    from itertools import combinations
+
+    share = sum(b for _, b in baskets) / len(baskets)
+    found = {}
+    names = sorted({x for items, _ in baskets for x in items})
+    for size in range(1, len(names) + 1):
+        for items in combinations(names, size):
+            hits = [b for have, b in baskets if set(items) <= set(have)]
+            if sum(hits) >= least and sum(hits) / len(hits) >= max(confidence, lift * share):
+                found[items] = sum(hits) / len(hits)
+    return {r: c for r, c in found.items() if len(r) == 1 or all(
+        found.get(r[:i] + r[i + 1:], -1.0) < c for i in range(len(r)))}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mined_rules_are_those_of_plain_search(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    sets = [sorted(r.sample("abcdefg", r.randint(0, 5))) for _ in range(60)]
+    # x and y lie in the same baskets as a, and z in all of them.
+    baskets = [(s + (["x", "y"] if "a" in s else []) + ["z"], ("b" in s and "c" in s) or ("a" in s and r.random() < 0.8)) for s in sets]
+    labelled = spark.createDataFrame(baskets, "items array<string>, bad boolean").repartition(3)
+    rules, tokens_of = url_filters.mine(labelled, 0.001, 0.6, 1.2)
+    of = {}
+    for token, item in tokens_of.collect():
+        of.setdefault(item, []).append(token)
+    from itertools import product
+
+    got = {tuple(sorted(c)): row.confidence for row in rules.collect() for c in product(*[of[i] for i in row.antecedent])}
+    want = _plain_rules(baskets, 5, 0.6, 1.2)
+    assert got == pytest.approx(want) and len(want) > 2
+    every = [(str(i), list(x)) for i, x in enumerate([b for b, _ in baskets] + [["x", "b"], ["y"], ["q"], []])]
+    urls = spark.createDataFrame(every, "url string, items array<string>")
+    surest = {u: max([c for rule, c in want.items() if set(rule) <= set(items)], default=None) for u, items in every}
+    assert dict(url_filters.matched(urls, rules, tokens_of).collect()) == pytest.approx({u: c for u, c in surest.items() if c})
+
+
+def test_mining_many_equal_long_urls(spark):
+    """A thousand labelled URLs of forty tokens, bad ones and good ones; every set of the forty occurs in all of them."""
+    words = "/".join(f"{a}{b}" for a in "abcde" for b in "qrstuvwx")
+    pages = spark.createDataFrame(
+        [(i, f"https://{'pills' if i % 4 == 0 else 'site'}.org/{words}/{i}") for i in range(1_000)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0 and i % 8 != 0 or i % 40 == 0)) for i in range(1_000)], "doc_id long, quality int, toxic int")
+    got = url_filters.judge(spark, pages, labels).collect()
+    assert {r.page_id % 4 == 0 for r in got if r.verdict == "block"} == {True}
+    assert {r.confidence for r in got if r.verdict == "block"} == {0.6}
+
+
 def test_pipeline(spark, docs, none):
     benchmark = spark.createDataFrame([(1, helpers.prose(45, 60))], "item_id long, text string")
     import tempfile
