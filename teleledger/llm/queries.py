@@ -87,4 +87,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op13_embedding_whitening)
 }
 
-ORACLE_SQL: dict[str, str] = {"op11_collocations": collocations.SQL}
+ORACLE_SQL: dict[str, str] = {"op8_decontamination": decontaminate.SQL, "op11_collocations": collocations.SQL}
