@@ -89,13 +89,15 @@ def future_events(feed: DataFrame, now: str | datetime, targets: list[tuple[int,
 def reservation_rows(requests: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A reservation per request whose event starts within a day of ``requested_at``, and requests without one.
 
-    Requests: ``request_id, onid, tsid, sid, eid, requested_at``.
+    Requests: ``request_id, onid, tsid, sid, eid, requested_at``. A request meets only airings of the two calendar days that
+    the day after it lies in, so reruns of one event id over the years, or ids used again, add no pairs.
     """
     place = F.shiftleft(F.col("svc_pos"), 31).bitwiseOR(F.col("evt_pos"))
     known, _ = timed(events)
-    guide = known.select(*EVENT_KEY, place.alias("place"), "start_time", "duration", "event_name")
-    start = F.col("start_time")
-    near = requests.join(guide, EVENT_KEY).filter(
+    guide = known.select(*EVENT_KEY, place.alias("place"), "start_time", "duration", "event_name", F.to_date("start_time").alias("_day"))
+    start, asked = F.col("start_time"), F.to_date("requested_at")
+    days = requests.withColumn("_day", F.explode(F.array(asked, F.date_add(asked, 1))))
+    near = days.join(guide, [*EVENT_KEY, "_day"]).filter(
         (start >= F.col("requested_at")) & (start < F.timestamp_add("DAY", F.lit(1), F.col("requested_at"))))
     # By request alone: requests for one popular event are spread out again.
     first = near.groupBy("request_id").agg(

@@ -49,3 +49,21 @@ def test_reservations(spark):
     assert {k: v.title for k, v in got.items()} == {1: "A", 2: "A2", 4: "A2"}
     assert got[1].rec_mode == 3 and got[1].pittari_flag is True and got[1].rec_folder_list == []
     assert [r.request_id for r in missed.collect()] == [3]
+
+
+def test_reservations_of_many_airings(spark):
+    """Each request takes the first airing in feed order within its day, whichever side of midnight."""
+    from datetime import timedelta
+
+    first, hours = at("2025-05-12 00:00"), [0, 1, 23, 24, 25, 47, 48, 71, 72, 100]
+    airings = [(0, [
+        (4, 100, 101, 1, first + timedelta(hours=h), 60, (f"at {h}", "")) for h in reversed(hours)])]
+    asked = [(i, 4, 100, 101, 1, first + timedelta(minutes=30 * i)) for i in range(220)]
+    requests = spark.createDataFrame(asked, "request_id long, onid long, tsid long, sid long, eid long, requested_at timestamp_ntz")
+    rows, missed = epg.reservation_rows(requests, epg.flatten_feed(spark.createDataFrame(airings, FEED)))
+    want = {}
+    for i, *_, when in asked:
+        near = [h for h in hours if timedelta() <= first + timedelta(hours=h) - when < timedelta(days=1)]
+        want[i] = f"at {max(near)}" if near else None
+    got = {r.request_id: r.title for r in rows.collect()} | {r.request_id: None for r in missed.collect()}
+    assert got == want and None in want.values()
