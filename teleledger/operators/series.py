@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from teleledger.functions import clock, ids, text
 from teleledger.functions.titles import series_title
 from teleledger.operators.nesting import nested_by_program, with_nested
-from teleledger.operators.paging import only_keys, page_of
+from teleledger.operators.paging import group_pages, only_keys, page_of
 from teleledger.operators.search import PROGRAM_COLUMNS
 from teleledger.session import cut
 
@@ -36,15 +36,13 @@ def series_programs(series: DataFrame, links: DataFrame, programs: DataFrame, vi
     heads = series.select(F.col("id").alias("series_id"), F.col("name").alias("series_name"), "modified_at")
     if keys is not None:
         heads = only_keys(heads, keys, "series_id")
-    # Rank on the two columns that order a page. The rank limit is applied per task before the
-    # shuffle, so a series with most of the links still sends one page per task.
+    # Rank on the two columns that order a page.
     times = programs.select(F.col("id").alias("program_id"), "start_time")
     wanted = links.select("series_id", "program_id")
     if keys is not None:
         wanted = only_keys(wanted, keys, "series_id")
-    order = Window.partitionBy("series_id").orderBy(F.desc("start_time"), F.asc("program_id"))
-    ranked = wanted.join(times, "program_id").withColumn("place", F.row_number().over(order))
-    paged = ranked.filter(F.col("place") <= page * size).filter(F.col("place") > (page - 1) * size)
+    paged = group_pages(wanted.join(times, "program_id"), "series_id", "start_time",
+                        [F.desc("start_time"), F.asc("program_id")], page, size)
     # Ids and places only; the details, and both arrays, look them up again.
     paged = cut(paged.select("series_id", F.col("program_id").alias("id"), "place").join(heads, "series_id"))
 
