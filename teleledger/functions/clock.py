@@ -103,10 +103,14 @@ def json_times(column: Column) -> Column:
     return F.coalesce(F.filter(parsed, lambda x: x.isNotNull()), F.array().cast("array<timestamp>"))
 
 
-def listing_time(column: Column, seconds: bool = False) -> Column:
-    """``2025/05/12(Mon) 12:00`` as the listings print it."""
-    return F.date_format(column, "yyyy/MM/dd(EEE) HH:mm:ss" if seconds else "yyyy/MM/dd(EEE) HH:mm")
+def listing_time(column: Column, seconds: bool = False, wall_clock: bool = True) -> Column:
+    """``2025/05/12(Mon) 12:00`` as the listings print it, in Japan time whatever the session's time zone."""
+    return F.date_format(_shown(column, wall_clock), "yyyy/MM/dd(EEE) HH:mm:ss" if seconds else "yyyy/MM/dd(EEE) HH:mm")
 
 
-def listing_span(start: Column, end: Column) -> Column:
-    return F.concat(listing_time(start), F.lit("-"), F.date_format(end, "HH:mm"))
+def listing_span(start: Column, end: Column, wall_clock: bool = True) -> Column:
+    return F.concat(listing_time(start, wall_clock=wall_clock), F.lit("-"), F.date_format(_shown(end, wall_clock), "HH:mm"))
+
+
+def _shown(column: Column, wall_clock: bool) -> Column:
+    return column if wall_clock else from_micros(F.unix_micros(column), True)

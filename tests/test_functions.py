@@ -137,6 +137,20 @@ def test_listing_times(spark):
     assert tuple(row) == ("2025/05/12(Mon) 12:00:05", "2025/05/12(Mon) 12:00-12:30")
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_listing_times_of_instants(spark, zone):
+    """Japan time in every session, also in the hour that a session's zone has twice."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        row = spark.sql("SELECT TIMESTAMP'2025-11-02 05:30:05Z' AS s, TIMESTAMP'2025-11-02 06:30:00Z' AS e, CAST(NULL AS TIMESTAMP) AS n").select(
+            clock.listing_time(F.col("s"), seconds=True, wall_clock=False), clock.listing_span(F.col("s"), F.col("e"), wall_clock=False),
+            clock.listing_time(F.col("n"), wall_clock=False)).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert tuple(row) == ("2025/11/02(Sun) 14:30:05", "2025/11/02(Sun) 14:30-15:30", None)
+
+
 def test_offsets_and_bare_dates(spark):
     from pyspark.sql import functions as F
 
