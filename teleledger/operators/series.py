@@ -51,6 +51,25 @@ def series_programs(series: DataFrame, links: DataFrame, programs: DataFrame, vi
     return with_nested(shown, nested, "id").withColumn("end_time", clock.end_time())
 
 
+def series_heads(series: DataFrame, links: DataFrame, programs: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """A header per series (per distinct key of ``keys``, column ``series_id``), those without a program included:
+    series_id, series_name, created_at, modified_at, n_programs, known. A key that is no series is not ``known``.
+
+    Links are counted before they meet the series; a link to a program that is gone counts for nothing. A null key is left out.
+    """
+    heads = series.select(F.col("id").alias("series_id"), F.col("name").alias("series_name"), "created_at", "modified_at", F.lit(True).alias("known"))
+    wanted = links.select("series_id", "program_id")
+    if keys is not None:
+        asked = keys.select("series_id").dropna().distinct()
+        heads, wanted = asked.join(heads, "series_id", "left"), only_keys(wanted, asked, "series_id")
+    present = wanted.distinct().join(programs.select(F.col("id").alias("program_id")), "program_id", "left_semi")
+    counts = present.groupBy("series_id").agg(F.count("*").alias("n_programs"))
+    known = F.coalesce("known", F.lit(False))
+    return heads.join(counts, "series_id", "left").select(
+        "series_id", "series_name", "created_at", "modified_at",
+        F.when(known, F.coalesce("n_programs", F.lit(0))).otherwise(F.lit(0)).alias("n_programs"), known.alias("known"))
+
+
 def _by_name(series: DataFrame) -> DataFrame:
     return series.groupBy("name").agg(F.min("id").alias("series_id"))
 

@@ -41,6 +41,20 @@ LEFT JOIN va ON va.program_id = p.id LEFT JOIN ra ON ra.program_id = p.id WHERE
     "programs", "views", "recordings", "series", "program_series")
 
 
+def series_heads(s: Source) -> DataFrame:
+    """Keys: one per part, which name series and others; programs of up to half an hour are gone."""
+    keys = s.read("part").select(F.col("p_partkey").alias("series_id"))
+    return series.series_heads(s.series, s.program_series, s.programs.filter("duration > 1800"), keys)
+
+
+SERIES_HEADS = with_tables(""", counted AS (SELECT series_id, count(DISTINCT program_id) AS n FROM program_series
+    WHERE program_id IN (SELECT id FROM programs WHERE duration > 1800) GROUP BY series_id)
+SELECT k.series_id, s.name AS series_name, s.created_at, s.modified_at,
+    CASE WHEN s.id IS NULL THEN 0 ELSE coalesce(c.n, 0) END AS n_programs, s.id IS NOT NULL AS known
+FROM (SELECT DISTINCT p_partkey AS series_id FROM part) k LEFT JOIN series s ON s.id = k.series_id
+LEFT JOIN counted c ON c.series_id = k.series_id""", "programs", "series", "program_series")
+
+
 def series_get_or_create(s: Source) -> DataFrame:
     """Wanted: a name per part from its brand and kind; some are series already."""
     part = s.read("part")
@@ -360,6 +374,7 @@ UNION ALL SELECT sha256('series|' || title), title, arg_min(created_at, id), max
 QUERIES = {
     "series_search": (series_search, SERIES_SEARCH),
     "series_programs": (series_programs, SERIES_PROGRAMS),
+    "series_heads": (series_heads, SERIES_HEADS),
     "series_get_or_create": (series_get_or_create, SERIES_GET_OR_CREATE),
     "series_link": (series_link, SERIES_LINK),
     "series_links": (series_links, SERIES_LINKS),

@@ -43,6 +43,18 @@ def test_programs(spark, make):
     assert [r.id for r in series.series_programs(table, links, programs, views, recordings, keys, page=2, size=2).collect()] == [1]
 
 
+def test_heads(spark, make):
+    """Series without programs have a header; unknown keys are reported, repeated and null ones are not."""
+    programs = make("programs", [program(i, f"{DAY}{10 + i}:00") for i in range(1, 4)])
+    table = make("series", rows({1: "a", 2: "b", 3: "c"}))
+    links = make("program_series", pairs([(1, 1), (2, 1), (99, 1), (99, 2), (1, 8)]))
+    got = lambda *keys: sorted((r.series_id, r.series_name, r.n_programs, r.known) for r in series.series_heads(
+        table, links, programs, *keys).collect())
+    assert got() == [(1, "a", 2, True), (2, "b", 0, True), (3, "c", 0, True)]
+    keys = spark.createDataFrame([(1,), (3,), (3,), (8,), (None,)], "series_id long")
+    assert got(keys) == [(1, "a", 2, True), (3, "c", 0, True), (8, None, 0, False)]
+
+
 def test_get_or_create(spark, make):
     table = make("series", rows({4: "a", 2: "a", 3: "b"}))
     wanted = spark.createDataFrame([("a", OLD, 1), ("c", NOW, 3), ("c", OLD, 2), ("", OLD, 4)], "name string, created_at timestamp_ntz, seq long")
