@@ -138,20 +138,26 @@ FROM steps WHERE k > 0 AND status = 200 AND ((deletes AND old_path <> '') OR (mo
     "recordings", recursive=True)
 
 
-def command_routes(s: Source) -> DataFrame:
-    """Intake of the commands above together with text that is no command: every event's own payload."""
+def command_messages(s: Source) -> DataFrame:
+    """Intake of the commands above together with text that is no command: every event's own payload. A row per message."""
     queued = file_commands(s).select("value").unionByName(s.read("events").select(F.col("props").alias("value")))
-    routed = commands.route_commands(commands.parse_commands(queued))
-    return routed.groupBy("route", "make_folder").agg(
+    return commands.route_commands(commands.parse_commands(queued)).select("route", "about_path", "make_folder")
+
+
+def command_routes(s: Source) -> DataFrame:
+    """The messages counted by route and folder."""
+    return command_messages(s).groupBy("route", "make_folder").agg(
         F.count("*").alias("n"), F.min("about_path").alias("first_path"))
 
 
-COMMAND_ROUTES = with_tables(f""", {_PATCHES},
+_QUEUED = f""", {_PATCHES},
 queued AS (SELECT CASE WHEN deletes THEN 'delete' ELSE 'rename' END AS route, old_path AS about_path,
         CASE WHEN NOT deletes THEN regexp_extract(path, '^(.*)/', 1) END AS make_folder
     FROM steps WHERE k > 0 AND status = 200 AND ((deletes AND old_path <> '') OR (moves AND old_path <> path))
     UNION ALL SELECT CASE WHEN props LIKE '{{%' THEN 'ignore' ELSE 'dead_letter' END, NULL, NULL FROM events)
-SELECT route, make_folder, count(*) AS n, min(about_path) AS first_path FROM queued GROUP BY route, make_folder""",
+"""
+COMMAND_MESSAGES = with_tables(f"{_QUEUED}SELECT route, about_path, make_folder FROM queued", "recordings", recursive=True)
+COMMAND_ROUTES = with_tables(f"""{_QUEUED}SELECT route, make_folder, count(*) AS n, min(about_path) AS first_path FROM queued GROUP BY route, make_folder""",
     "recordings", recursive=True)
 
 QUERIES = {
@@ -160,5 +166,6 @@ QUERIES = {
     "recording_patch": (recording_patch, RECORDING_PATCH),
     "patch_outcomes": (patch_outcomes, PATCH_OUTCOMES),
     "file_commands": (file_commands, FILE_COMMANDS),
+    "command_messages": (command_messages, COMMAND_MESSAGES),
     "command_routes": (command_routes, COMMAND_ROUTES),
 }

@@ -297,7 +297,7 @@ def title_extract(s: Source) -> DataFrame:
     return names.select("name", series_title(F.col("name")).alias("title"))
 
 
-# The title rules for DuckDB's regular expressions: no look-around, and ``$`` spelled out as Python reads it.
+# The title rules, in their order, for DuckDB's regular expressions: no look-around, and ``$`` spelled out as Python reads it.
 _SQL_RULES = [
     (r"^\s+|\s+$", "", "g"), (r"\[[^\]]+\]", "", "g"), (r"【[^】]+】", "", "g"), (r"(?-s)[（(<].*?[）)>]", "", "g"),
     (r"第?[\d一二三四五六七八九十百]+[期章部回話目夜節]", " ", "g"),
