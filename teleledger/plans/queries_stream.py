@@ -13,7 +13,7 @@ from teleledger.functions import clock
 from teleledger.plans.queries_ingest import _LATE, _VIEW_ARRIVALS, _fold, sightings, view_arrivals
 from teleledger.plans.tables import Source, with_tables
 from teleledger.session import checkpoint_root, cut
-from teleledger.sources import tables
+from teleledger.sources import commits, tables
 from teleledger.streaming import jobs, player, programs
 
 
@@ -115,15 +115,26 @@ def stream_program_changes(s: Source) -> DataFrame:
     return out.select("event_id", "seq", "program_id")
 
 
-def _in_batches(s: Source, rows: DataFrame, batches: int = 3) -> DataFrame:
-    """The rows as a stream of several micro-batches, in order of ``seq``."""
+#: Rows of a file of a feed, about: a task writes one.
+_FEED_ROWS = 500_000
+
+
+def _in_batches(s: Source, rows: DataFrame, batches: int = 3, share: int = _FEED_ROWS) -> DataFrame:
+    """The rows as a stream of several micro-batches, in order of ``seq``; each has the same number of files, as many as its rows need."""
     folder = f"{checkpoint_root(s.spark)}/feed-{uuid.uuid4().hex}"
-    ends = rows.approxQuantile("seq", [k / batches for k in range(1, batches)], 0.0)
+    rows = cut(rows)
+    # Where batches end is of no consequence, so a summary of bounded size will do.
+    ends = rows.approxQuantile("seq", [k / batches for k in range(1, batches)], 0.01)
+    files = max(1, -(-rows.count() // (batches * share)))
     place = sum([(F.col("seq") > end).cast("int") for end in ends], F.lit(0))
-    placed = cut(rows.withColumn("place", place))
+    placed = rows.withColumn("place", place)
     for k in range(batches):
-        placed.filter(F.col("place") == k).drop("place").coalesce(1).write.mode("append").parquet(folder)
-    return s.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        batch = placed.filter(F.col("place") == k).drop("place")
+        (batch.coalesce(1) if files == 1 else batch.repartition(files)).write.mode("append").parquet(folder)
+        # A micro-batch is a number of files: tasks without a row leave none.
+        for _ in range((k + 1) * files - sum(x.endswith(".parquet") for x in commits.names_in(s.spark, folder))):
+            batch.limit(0).coalesce(1).write.mode("append").parquet(folder)
+    return s.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def _instants(wall: DataFrame) -> DataFrame:
