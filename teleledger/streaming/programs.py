@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,6 +26,15 @@ CHANGE = T.StructType([
     T.StructField("duration", _L), T.StructField("stored_id", _S)])
 
 
+def _sorted(rows: pd.DataFrame, *columns: str, by: int = 2) -> list[tuple]:
+    """The columns' values in order of the first ``by`` of them, missing ones last. Most keys have few rows: a frame's own sort
+    costs more than all else."""
+    def place(row: tuple) -> list:
+        return [(False, x) if x is not None and x == x else (True,) for x in row[:by]]
+
+    return sorted(zip(*(rows[c].tolist() for c in columns)), key=place)
+
+
 class OpenPrograms(StatefulProcessor):
     """Keeps per key all its programs, so a row that comes however late finds the one it belongs to, and a start that lies far
     ahead displaces none. As two programs of a key lie over twelve hours apart, their number is bounded by the calendar,
@@ -36,33 +46,46 @@ class OpenPrograms(StatefulProcessor):
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timer_values) -> None:
         # Of stored programs with one start the smallest id is met.
-        rows = initialState.sort_values(["start_us", "stored_id"])
-        self.open.appendList([(None, None, start, duration, created, stored) for start, duration, created, stored in zip(
-            *(rows[c].tolist() for c in ("start_us", "duration", "created_us", "stored_id")))])
+        rows = _sorted(initialState, "start_us", "stored_id", "duration", "created_us")
+        self.open.appendList([(None, None, start, duration, created, stored) for start, stored, duration, created in rows])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        programs = [list(r) for r in self.open.get()] if self.open.exists() else []
+        # In order of start, equal ones as stored, so an arrival looks at those near it only.
+        programs = sorted(([*r] for r in self.open.get()), key=lambda p: p[2]) if self.open.exists() else []
+        starts, nowhere = [p[2] for p in programs], []
         # Rows of one micro-batch come in no order; the arrival number restores it.
-        batch = pd.concat(list(rows)).sort_values("seq")
+        parts = list(rows)
+        batch = parts[0] if len(parts) == 1 else pd.concat(parts)
         out = []
-        for seq, start, duration, viewed, created in zip(
-                *(batch[c].tolist() for c in ("seq", "start_us", "duration", "viewed_us", "created_us"))):
-            near = [p for p in programs if abs(p[2] - start) <= REACH]
-            match = max(near, key=lambda p: p[2], default=None)
+        for seq, start, duration, viewed, created in _sorted(batch, "seq", "start_us", "duration", "viewed_us", "created_us", by=1):
+            at, match = bisect_right(starts, start + REACH) - 1, None
+            if at >= 0 and starts[at] >= start - REACH:
+                at = bisect_left(starts, starts[at])
+                match = programs[at]
             if match is None:
                 match, action = [seq, start, start, duration, created, None], "insert"
-                programs.append(match)
+                if start == start:
+                    at = bisect_right(starts, start)
+                    starts.insert(at, start)
+                    programs.insert(at, match)
+                else:  # without a time it is near none
+                    nowhere.append(match)
             elif start > match[2]:
                 match[2:4], action = [start, duration], "move"
+                del starts[at], programs[at]
+                at = bisect_right(starts, start)
+                starts.insert(at, start)
+                programs.insert(at, match)
             elif start == match[2] and duration != match[3] and match[4] < viewed:
                 match[3], action = duration, "duration"
             else:
                 action = "none"
             out.append((key[0], key[1], seq, match[0], match[1], action, match[3], match[5]))
-        self.open.put([tuple(p) for p in programs])
-        made = pd.DataFrame(out, columns=CHANGE.names)
+        if any(row[5] != "none" for row in out):
+            self.open.put([tuple(p) for p in programs + nowhere])
         # Programs that were stored have no first arrival.
-        yield made.astype({"head": "Int64", "head_start": "Int64"})
+        made = dict(zip(CHANGE.names, zip(*out)))
+        yield pd.DataFrame({c: pd.array(x, dtype="Int64") if c in ("head", "head_start") else [*x] for c, x in made.items()})
 
     def close(self) -> None:
         pass
