@@ -34,7 +34,7 @@ SENTENCE_COST, HARD_COST, WINDOW_COST = 8, 64, 8
 HARD_STEP = 256
 #: Ids that are laid out at a time.
 BLOCK = 1_000_000
-_ENDS = frozenset(b".!?")
+_ENDS = frozenset((b".", b"!", b"?"))
 _PIECES = ("part int, local long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long")
 
 
@@ -77,10 +77,10 @@ def cut(position: list[int], cost: list[int], size: int = SIZE) -> list[int]:
     return chosen[::-1]
 
 
-def boundaries(lengths: np.ndarray, ends: np.ndarray, total: int) -> tuple[list[int], list[int]]:
-    """Places after which a document of ``total`` ids may be cut, and their costs. lengths: ids of its words."""
-    stops = np.cumsum(lengths)[ends] if len(ends) else np.zeros(0, np.int64)
-    stops = np.unique(np.append(stops[stops < total], total))
+def boundaries(stops: np.ndarray, total: int) -> tuple[list[int], list[int]]:
+    """Places after which a document of ``total`` ids may be cut, and their costs. stops: where its sentences end."""
+    stops = np.append(stops[stops < total], total)
+    stops = stops[np.diff(stops, prepend=-1) > 0]
     gaps = np.diff(stops, prepend=0)
     if gaps.max() <= HARD_STEP:
         return stops.tolist(), [SENTENCE_COST] * (len(stops) - 1) + [0]
@@ -153,15 +153,19 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1,
         encoder = tokens.encoder(tokenizer, "word")
         end = np.array([end_id], dtype="<u4").tobytes()
         part, line = TaskContext.get().partitionId(), _Line(size)
-        for batch in batches:
-            for doc, words in zip(batch.column("doc_id").to_pylist(), encoder.pieces(batch.column("text").to_pylist())):
-                ids = list(map(encoder.known.__getitem__, words))
-                ends = np.array([i for i, w in enumerate(words) if w[-1] in _ENDS], dtype=np.int64)
-                data = b"".join(ids) + end
-                lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-                line.add(doc, data, *boundaries(lengths, ends, len(data) // 4))
-            if line.position[-1] > BLOCK:
-                yield from _batches(part, line.windows(last=False))
+        for batch, ended in tokens.together(batches):
+            words, number, edges, found = encoder.words(batch.column("text"))
+            flat, sizes = tokens.gathered(found, number)
+            at = np.append(0, np.cumsum(sizes))
+            stops = np.flatnonzero(np.array([w[-1:] in _ENDS for w in words], dtype=bool)[number])
+            edge, mark = at[edges].tolist(), np.searchsorted(stops, edges).tolist()
+            stops, data, docs_here = at[stops + 1], flat.tobytes(), batch.column("doc_id").to_pylist()
+            for first, last in zip([0, *ended], ended):
+                for i in range(first, last):
+                    own = data[4 * edge[i]:4 * edge[i + 1]] + end
+                    line.add(docs_here[i], own, *boundaries(stops[mark[i]:mark[i + 1]] - edge[i], len(own) // 4))
+                if line.position[-1] > BLOCK:
+                    yield from _batches(part, line.windows(last=False))
         yield from _batches(part, line.windows(last=True))
 
     pieces = common.stored(token_files.in_doc_order(docs).mapInArrow(packed, _PIECES), "pieces")

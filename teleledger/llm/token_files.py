@@ -74,22 +74,22 @@ def write(docs: DataFrame, folder: str, tokenizer: str, kind: str = "byte", end_
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer, kind)
-        end = np.array([end_id], dtype="<u4").tobytes()
         part, name = TaskContext.get().partitionId(), uuid.uuid4().hex
         name = f"{part:06d}-{name}"
         system, path = _stream(f"{folder}/{name}")
         offsets, ids = array("Q", [0]), array("q")
         total, out = 0, None
-        for batch in batches:
+        for batch, _ in tokens.together(batches):
             if out is None:
                 system.create_dir(path.rpartition("/")[0], recursive=True)
                 out = system.open_output_stream(f"{path}.ids")
-            found = encoder.encode(batch.column("text").to_pylist())
-            for doc, data in zip(batch.column("doc_id").to_pylist(), found):
-                total += len(data) // 4 + 1
-                offsets.append(total)
-                ids.append(NULL_ID if doc is None else doc)
-            values = np.frombuffer(b"".join([x for data in found for x in (data, end)]), dtype="<u4")
+            found = encoder.ids(batch.column("text"))
+            # Each document has an id more than in ``found``.
+            starts = total + found.edges[1:] + np.arange(1, batch.num_rows + 1)
+            offsets.extend(starts.tolist())
+            ids.extend([NULL_ID if doc is None else doc for doc in batch.column("doc_id").to_pylist()])
+            values = np.insert(found.flat, found.edges[1:], end_id)
+            total += values.size
             narrow = values.astype(dtype)
             if values.size and int(values.max()) > np.iinfo(narrow.dtype).max:
                 raise ValueError(f"an id does not fit {dtype}")

@@ -10,6 +10,7 @@ from collections import Counter
 import helpers
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -38,6 +39,39 @@ def test_pieces_give_the_ids_of_the_whole_text(path, kind):
     assert got == [x[:-1] for x in _ids(path, texts, 0)]
 
 
+class _Counted(dict):
+    def __init__(self):
+        super().__init__()
+        self.asked = Counter()
+
+    def __contains__(self, key):
+        self.asked[key] += 1
+        return super().__contains__(key)
+
+    def __getitem__(self, key):
+        self.asked[key] += 1
+        return super().__getitem__(key)
+
+
+@pytest.mark.parametrize("path,kind", [(BYTE, "byte"), (WORD, "word")])
+def test_a_piece_is_looked_up_once_a_batch(path, kind):
+    encoder = {"byte": tokens.ByteEncoder, "word": tokens.WordEncoder}[kind](path)
+    encoder.known = _Counted()
+    texts = [f"One line here.\nAnd one line there number{i}.\nThe end" for i in range(2_000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [x[:-1] for x in _ids(path, texts, 0)]
+    # At most a few times for each different piece, however often it comes.
+    assert max(encoder.known.asked.values()) <= 8
+
+
+def test_batches_are_put_together():
+    sizes = [3, 0, 200, 2, 1]
+    batches = [pa.RecordBatch.from_pydict({
+        "doc_id": pa.array([None] * n, pa.int64()), "text": pa.array(["x" * 30_000] * n, pa.string())}) for n in sizes]
+    got = list(tokens.together(iter(batches)))
+    assert [(b.num_rows, ended) for b, ended in got] == [(203, [3, 3, 203]), (3, [2, 3])]
+    assert list(tokens.together(iter([]))) == []
+
+
 def _crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
