@@ -111,6 +111,24 @@ def test_packing(spark, docs, none):
     assert packing.pack(spark, none, WORD).count() == 0
 
 
+def test_sentence_ends_of_a_batch():
+    texts = [t or "" for _, t in DOCS]
+    encoder = tokens.WordEncoder(WORD)
+    words, number, edges, found = encoder.words(pa.array(texts, pa.string()))
+    sizes = tokens.gathered(found, number)[1]
+    ends = np.array([w[-1:] in packing._ENDS for w in words])[number]
+    for text, a, b in zip(texts, edges[:-1].tolist(), edges[1:].tolist()):
+        plain = text.encode().lower().split()
+        assert [words[i] for i in number[a:b] if words[i]] == plain
+        ids = [len(x) - 1 for x in _ids(WORD, [w.decode() for w in plain], 0)]
+        stops = [n for n, w in zip(itertools.accumulate(ids), plain) if w[-1:] in (b".", b"!", b"?")]
+        got = np.cumsum(sizes[a:b])[ends[a:b]]
+        assert got.tolist() == stops
+        where, cost = packing.boundaries(got, sum(ids) + 1)
+        assert where[-1] == sum(ids) + 1 and cost[-1] == 0 and set(stops) <= set(where)
+        assert len(where) == len(set(where)) and max(np.diff(where, prepend=0)) <= packing.HARD_STEP
+
+
 def test_cuts_are_best():
     import random
 
