@@ -27,7 +27,7 @@ SIZE = 300
 #: Documents per language that a profile is learned from.
 SAMPLE = 2_000
 #: Characters of a text that are counted at a time; the counts of all its blocks are added.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 17
 _GAP = re.compile(r"[\W\d_]+")
 #: Scores below this are no language: random signs, not prose.
 MIN_SCORE = 0.2

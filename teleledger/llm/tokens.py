@@ -48,8 +48,10 @@ def _ids(each: list[bytes]) -> Ids:
     return Ids(np.frombuffer(b"".join(each), dtype="<u4"), np.append(0, np.cumsum(sizes)))
 
 
-def together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
-    """Batches in a row as one, up to ``TOGETHER`` and one batch more, and after how many rows each of them ended."""
+def together(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Batches in a row as one, up to ``most`` bytes (``TOGETHER``) and one batch more, and after how many rows each of them
+    ended. At the end Arrow gives back what it holds without using it: the worker stays, and so would its memory."""
+    most = TOGETHER if most is None else most
     held: list[pa.RecordBatch] = []
     size = 0
 
@@ -60,11 +62,13 @@ def together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
     for batch in batches:
         held.append(batch)
         size += batch.nbytes
-        if size >= TOGETHER:
+        if size >= most:
             yield joined()
             held, size = [], 0
     if held:
         yield joined()
+        held = []
+    pa.default_memory_pool().release_unused()
 
 
 def _numbered(pieces: pa.ListArray) -> tuple[list, np.ndarray, np.ndarray]:

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from teleledger.llm import packing, quality_rules, secret_scan, token_files, tokens, url_filters
+from teleledger.llm import language_id, packing, quality_rules, secret_scan, token_files, tokens, url_filters
 
 DOCS = [(r[0], r[1]) for r in helpers.rows()]
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -72,6 +73,30 @@ def test_batches_are_put_together():
     assert list(tokens.together(iter([]))) == []
 
 
+def test_packing_puts_less_together():
+    """A worker holds a megabyte of text and one batch more, whatever the other users of the encoder put together."""
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": ["x" * 300_000]}) for i in range(30)]
+    got = list(tokens.together(iter(batches), packing.TOGETHER))
+    assert [x for b, _ in got for x in b.column("doc_id").to_pylist()] == list(range(30))
+    assert max(b.nbytes for b, _ in got) <= (1 << 20) + batches[0].nbytes
+
+
+def test_long_text_is_counted_in_small_blocks():
+    text = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}é" for i in range(250_000))
+    tracemalloc.start()
+    try:
+        codes, counts = language_id.grams(text)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    want = Counter(c for c in text if c != " ")
+    want.update(a + b for a, b in zip(text, text[1:]))
+    want.update(a + b + c for a, b, c in zip(text, text[1:], text[2:]))
+    signs = lambda x: (chr(x >> 42) if x >> 42 else "") + (chr(x >> 21 & 0x1FFFFF) if x >> 21 else "") + chr(x & 0x1FFFFF)
+    assert dict(zip(map(signs, codes.tolist()), counts.tolist())) == want
+    assert peak < 50 * len(text), peak
+
+
 def _crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
