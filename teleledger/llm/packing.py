@@ -34,7 +34,7 @@ SENTENCE_COST, HARD_COST, WINDOW_COST = 8, 64, 8
 HARD_STEP = 256
 #: Ids that are laid out at a time.
 BLOCK = 1_000_000
-#: Bytes of text that are encoded at once. Four times as many cost a worker 70 MB more and save a twentieth of its time.
+#: Bytes of text to encode at once where workers hold other stages' memory too. ``tokens.TOGETHER`` takes 70 MB more, and less time.
 TOGETHER = 1 << 20
 _ENDS = frozenset((b".", b"!", b"?"))
 _PIECES = ("part int, local long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, offset long")
@@ -147,7 +147,8 @@ def _batches(part: int, pieces: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         "doc_tokens": pa.array(total, long), "offset": pa.array(offset, long)})
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SIZE) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SIZE,
+         together: int = tokens.TOGETHER) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     common.small_batches(spark)
 
@@ -155,7 +156,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1,
         encoder = tokens.encoder(tokenizer, "word")
         end = np.array([end_id], dtype="<u4").tobytes()
         part, line = TaskContext.get().partitionId(), _Line(size)
-        for batch, ended in tokens.together(batches, TOGETHER):
+        for batch, ended in tokens.together(batches, together):
             words, number, edges, found = encoder.words(batch.column("text"))
             flat, sizes = tokens.gathered(found, number)
             at = np.append(0, np.cumsum(sizes))
