@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +28,7 @@ REMEMBERED = 500_000
 #: Bytes of text that are encoded at once: common words are then looked up once in many texts.
 TOGETHER = 1 << 22
 _TAIL = frozenset(".,;:!?")
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _JOINED = 400
 
 
@@ -223,6 +225,14 @@ class ByteEncoder(Encoder):
         return _ids(each)
 
 
+def _ends_plain(word: bytes) -> bool:
+    """Whether ASCII marks after ``word`` begin a token: it ends in an ASCII letter or digit, or in a letter that stays one
+    when it is normalised and lower-cased. A combining mark would go together with them."""
+    if word[-1:].isalnum():
+        return True
+    return unicodedata.normalize("NFC", word[-4:].decode(errors="ignore")[-1:]).lower()[-1:].isalpha()
+
+
 class WordEncoder(Encoder):
     """For tokenizers that drop white space and do not tell ASCII case apart."""
 
@@ -231,21 +241,30 @@ class WordEncoder(Encoder):
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.tails = {x.encode(): y for x, y in zip(_TAIL, self._plain(list(_TAIL)))}
 
     def words(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, Ids]:
         """The different words, the number of each word, where each text starts among the words, and ids by number."""
         self._room()
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         words, number, edges = _numbered(split.cast(pa.list_(pa.binary())))
-        self._learn({w for w in words if w not in self.known})
-        return words, number, edges, _ids([self.known[w] for w in words])
-
-    def _learn(self, need: set[bytes]) -> None:
+        known = self.known
+        each = list(map(known.get, words))
+        new = [i for i, x in enumerate(each) if x is None]
+        self._learn([words[i] for i in new])
+        for i in new:
+            each[i] = known[words[i]]
+        return words, number, edges, _ids(each)
+
+    def _learn(self, need: list[bytes]) -> None:
         known, model = self.known, self.tokenizer.model
-        tailed = [w for w in need if w[-1:] in self.tails and w[-2:-1].isalpha()]
-        base = need.difference(tailed)
-        base.update(w[:-1] for w in tailed)
+        base, marked = set(), []
+        for w in need:
+            bare = w.rstrip(_MARKS)
+            if len(bare) < len(w) and _ends_plain(bare):
+                marked.append((w, bare, w[len(bare):]))
+                base.update(marked[-1][1:])
+            else:
+                base.add(w)
         rest = []
         for w in base:
             if w in known:
@@ -259,8 +278,9 @@ class WordEncoder(Encoder):
         known.update(zip([rest[i] for i in letters], self._joined([text[i] for i in letters], " ", self.ends, False)))
         other = [i for i, x in enumerate(text) if not x.isalpha()]
         known.update(zip([rest[i] for i in other], self._plain([text[i] for i in other])))
-        for w in tailed:
-            known[w] = known[w[:-1]] + self.tails[w[-1:]]
+        ends = {x: known[x] for x in {marks for _, _, marks in marked}}
+        for w, bare, marks in marked:
+            known[w] = known[bare] + ends[marks]
 
     def ids(self, texts: pa.Array) -> Ids:
         _, number, edges, found = self.words(texts)

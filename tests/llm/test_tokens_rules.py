@@ -64,6 +64,19 @@ def test_a_piece_is_looked_up_once_a_batch(path, kind):
     assert max(encoder.known.asked.values()) <= 8
 
 
+def test_marks_after_a_word_are_looked_up_once():
+    """Words that differ in what they begin with do not each cost a call of the tokenizer, whatever marks end them."""
+    words = ["".join(x) for x in itertools.product("abcé", repeat=4)]
+    marks = ["&&&", "$$$", ",***", "?!", "'", ".)"]
+    texts = [" ".join(w + m for w in words) for m in marks] + ["3.14, x2! İ, e\u0301. e\u0301x: \ufb1d; \uac00. it's' -- a.b,c."]
+    encoder = tokens.WordEncoder(WORD)
+    asked, plain = [], encoder._plain
+    encoder._plain = lambda x: asked.extend(x) or plain(x)
+    got = encoder.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [x[:-1] for x in _ids(WORD, texts, 0)]
+    assert len(asked) < 40
+
+
 def test_batches_are_put_together():
     sizes = [3, 0, 200, 2, 1]
     batches = [pa.RecordBatch.from_pydict({
