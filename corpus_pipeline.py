@@ -39,7 +39,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the training sequences."""
-    return packing.pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"), together=packing.TOGETHER)
+    return packing.pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"), together=packing.TOGETHER, remember=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

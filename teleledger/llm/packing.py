@@ -148,27 +148,28 @@ def _batches(part: int, pieces: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SIZE,
-         together: int = tokens.TOGETHER) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+         together: int = tokens.TOGETHER, remember: bool = True) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. ``remember``: the workers keep
+    the words they have met for the tasks that follow, which takes less time and more memory."""
     common.small_batches(spark)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(tokenizer, "word")
         end = np.array([end_id], dtype="<u4").tobytes()
         part, line = TaskContext.get().partitionId(), _Line(size)
-        for batch, ended in tokens.together(batches, together):
-            words, number, edges, found = encoder.words(batch.column("text"))
-            flat, sizes = tokens.gathered(found, number)
-            at = np.append(0, np.cumsum(sizes))
-            stops = np.flatnonzero(np.array([w[-1:] in _ENDS for w in words], dtype=bool)[number])
-            edge, mark = at[edges].tolist(), np.searchsorted(stops, edges).tolist()
-            stops, data, docs_here = at[stops + 1], flat.tobytes(), batch.column("doc_id").to_pylist()
-            for first, last in zip([0, *ended], ended):
-                for i in range(first, last):
-                    own = data[4 * edge[i]:4 * edge[i + 1]] + end
-                    line.add(docs_here[i], own, *boundaries(stops[mark[i]:mark[i + 1]] - edge[i], len(own) // 4))
-                if line.position[-1] > BLOCK:
-                    yield from _batches(part, line.windows(last=False))
+        with tokens.borrowed(tokenizer, "word", remember) as encoder:
+            for batch, ended in tokens.together(batches, together):
+                words, number, edges, found = encoder.words(batch.column("text"))
+                flat, sizes = tokens.gathered(found, number)
+                at = np.append(0, np.cumsum(sizes))
+                stops = np.flatnonzero(np.array([w[-1:] in _ENDS for w in words], dtype=bool)[number])
+                edge, mark = at[edges].tolist(), np.searchsorted(stops, edges).tolist()
+                stops, data, docs_here = at[stops + 1], flat.tobytes(), batch.column("doc_id").to_pylist()
+                for first, last in zip([0, *ended], ended):
+                    for i in range(first, last):
+                        own = data[4 * edge[i]:4 * edge[i + 1]] + end
+                        line.add(docs_here[i], own, *boundaries(stops[mark[i]:mark[i + 1]] - edge[i], len(own) // 4))
+                    if line.position[-1] > BLOCK:
+                        yield from _batches(part, line.windows(last=False))
         yield from _batches(part, line.windows(last=True))
 
     pieces = common.stored(token_files.in_doc_order(docs).mapInArrow(packed, _PIECES), "pieces")

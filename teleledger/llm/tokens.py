@@ -16,6 +16,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -299,3 +300,14 @@ _KINDS = {"byte": ByteEncoder, "word": WordEncoder, "whole": WholeEncoder}
 def encoder(path: str, kind: str) -> Encoder:
     """One per worker; the file is read where the worker runs."""
     return _KINDS[kind](path)
+
+
+@contextmanager
+def borrowed(path: str, kind: str, remember: bool = True) -> Iterator[Encoder]:
+    """The worker's encoder. Unless ``remember``, it goes at the end with all pieces it has met: the worker stays, and other
+    stages need the room."""
+    found = encoder(path, kind)
+    yield found
+    if not remember:
+        found.known.clear()
+        encoder.cache_clear()

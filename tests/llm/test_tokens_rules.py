@@ -94,6 +94,20 @@ def test_packing_puts_less_together():
     assert max(b.nbytes for b, _ in got) <= (1 << 20) + batches[0].nbytes
 
 
+def test_the_pipeline_gives_its_words_up(monkeypatch):
+    """A worker that stays after the packing of the pipeline holds neither the words it has met nor the tokenizer."""
+    with tokens.borrowed(WORD, "word", remember=False) as encoder:
+        assert encoder.encode(["some words"]) and encoder.known
+    assert not encoder.known and tokens.encoder.cache_info().currsize == 0
+    with tokens.borrowed(WORD, "word") as encoder:
+        encoder.encode(["some words"])
+    assert encoder.known and tokens.encoder(WORD, "word") is encoder
+    asked = {}
+    monkeypatch.setattr(packing, "pack", lambda *_, **named: asked.update(named))
+    corpus_pipeline.packed(None, None, "")
+    assert asked["remember"] is False
+
+
 def test_long_text_is_counted_in_small_blocks():
     text = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}é" for i in range(250_000))
     tracemalloc.start()
