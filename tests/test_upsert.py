@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import os
 import random
+import tempfile
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -149,3 +152,54 @@ def test_recorder_reports(spark):
     assert [(r.file_path, r.file_size, r.program.genre) for r in rec] == [("//nas/rec/a.ts", 77, "ドラマ")]
     view = ingest.views_from_recorder(info, F.lit(at(DAY + "13:00"))).collect()
     assert [(v.seq, v.viewed_time, v.speed) for v in view] == [(1, at(DAY + "12:00"), 1.0)]
+
+
+def test_rounds(spark, make, monkeypatch):
+    """A batch beyond a round is taken by shares of its keys, and leaves its two tables only."""
+    monkeypatch.setattr(upsert, "ROUND", 30)
+    rng = random.Random(7)
+    base = at("2025-01-01 00:00")
+    stored = [program(k + 1, str(base + timedelta(hours=k)), event_id=k, created_at=base) for k in range(0, 40, 3)]
+    arrivals = [arrival(seq, base + timedelta(hours=rng.randrange(0, 90, 5)), rng.choice([600, 1200]), event_id=rng.randrange(40))
+                for seq in range(200)]
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rounds-"))
+    check(spark, make, stored, arrivals)
+    assert sorted(x.rsplit("-", 1)[0] for x in os.listdir(_checkpoints(spark))) == ["upsert-replayed", "upsert-told"]
+
+
+def _checkpoints(spark) -> str:
+    return spark.sparkContext.getCheckpointDir().removeprefix("file:")
+
+
+def _bytes(folders) -> int:
+    return sum(os.path.getsize(os.path.join(at_, f)) for x in folders for at_, _, files in os.walk(x) for f in files)
+
+
+def test_ingest_keeps_little_on_disk(spark, make):
+    """Shuffles of the steps are given up, and what is kept of an arrival is small."""
+    n = 40_000
+    start = F.timestamp_add("MINUTE", F.col("id") % 50_000, F.lit("2025-01-01 00:00:00").cast("timestamp_ntz"))
+    told = F.struct((F.col("id") % 5000).alias("event_id"), F.lit(1).cast("long").alias("service_id"), F.concat(F.lit("Show "), F.col("id") % 7).alias("name"),
+                    start.alias("start_time"), F.lit(900).cast("long").alias("duration"), F.lit(None).cast("string").alias("text"),
+                    F.lit(None).cast("string").alias("ext_text"), F.lit("g").alias("genre"))
+    arrivals = spark.range(n).select(
+        told.alias("program"), F.concat(F.lit("//nas/rec/"), F.col("id").cast("string")).alias("file_path"), F.col("id").alias("file_size"),
+        F.lit(None).cast("timestamp_ntz").alias("watched_at"), F.lit(None).cast("timestamp_ntz").alias("deleted_at"),
+        start.alias("created_at"), F.col("id").alias("seq"))
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ingest-"))
+    dirs = [str(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    spark._jvm.java.lang.System.gc()
+    time.sleep(2)
+    before = _bytes(dirs)
+    done = ingest.ingest_recordings(make("programs", []), make("series", []), make("program_series", []), arrivals)
+    for _ in range(20):
+        time.sleep(0.5)
+        left = _bytes(dirs) - before
+        if left < 10 * n:
+            break
+    assert left < 10 * n
+    assert _bytes([_checkpoints(spark)]) < 100 * n
+    full = done.with_series()
+    assert full.count() == done.recordings.count() == n
+    assert full.select("id").exceptAll(done.recordings.select("id")).isEmpty()
+    assert {r.title for r in full.select("title").distinct().collect()} == {f"Show {i}" for i in range(7)}
